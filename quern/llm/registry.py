@@ -1,10 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from . import langid, mixing, packing
+from . import chat, langid, mixing, packing, secret_scan, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1,
+    "op2_chat_format": chat.op2,
+    "op4_secret_scan": secret_scan.op4,
     "op6_language_id": langid.op6,
     "op8_source_mixing": mixing.op8,
     "op10_harmonic_packing": packing.op10,
 }
-ORACLE_SQL = {"op8_source_mixing": mixing.SQL}
+ORACLE_SQL = {"op2_chat_format": chat.SQL, "op8_source_mixing": mixing.SQL}
