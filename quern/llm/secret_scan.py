@@ -22,7 +22,7 @@ ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 WORDS_OF_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: Further contexts: a word, what may stand between, and the value up to white space or a quote.
-CONTEXT = re.compile(rb"(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pass|pwd|secret|credentials?|token|bearer|private_?key|access_?key|client_?secret|auth|api_?key|login)[\"'`]?\x20*(?:[:=]|\x20is\x20|=>|\x20)\x20*[\"'`]?([!-~]{6,})", re.I)
+CONTEXT = re.compile(rb"(?<![A-Za-z0-9])(password|passwd|passphrase|passcode|pass|pwd|secret|credentials?|token|bearer|private_?key|access_?key|client_?secret|auth|api_?key|login)[\"'`]?\x20*(?:[:=]|\x20is\x20|=>|\x20)\x20*[\"'`]?(?=([!-~]{6,}))", re.I)
 WORDS_OF_CONTEXT = (b"pass", b"pwd", b"secret", b"credential", b"token", b"bearer", b"key", b"auth", b"login")
 URL = re.compile(rb"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"']{1,64}:([!-~]{6,}?)@")
 #: log10 of guesses from which a value counts as a secret
