@@ -1 +1 @@
-
+"""Scalar functions: tokens, stems, quantisation."""

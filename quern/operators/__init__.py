@@ -1 +1 @@
-
+"""Aggregates and ranked searches."""

@@ -1 +1 @@
-
+"""Tailing a log."""
