@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from .operators.aggregates import collect, count, first, last, max, mean, min, s
 from .operators.vector import cosine
 from .plans.query import Query, find, find_ex
 from .sources import bson, files
+from .sources.shared import shared_folder
 from .sources.store import CHANGED, GONE, LIVE, changed, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,7 +144,7 @@ _COS = f"list_cosine_similarity(embedding::DOUBLE[], {VECTOR_SQL})"
 query("vector_topk", ranked_sql(f"SELECT vec_id, {_COS} AS score FROM embeddings", "vec_id"))(lambda s, d: ranked(find(table(s, d, "embeddings"), {}, "vec_id").vector_search("embedding", VECTOR).df, "vec_id"))
 query("vector_filtered", ranked_sql(f"SELECT vec_id, {_COS} AS score FROM embeddings WHERE label = 3", "vec_id"))(lambda s, d: ranked(find(table(s, d, "embeddings"), {"label": 3}, "vec_id").vector_search("embedding", VECTOR).df, "vec_id"))
 query("vector_all", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings")(lambda s, d: find(table(s, d, "embeddings"), {}, "vec_id").vector_search("embedding", VECTOR, None).df.select("vec_id", F.round("score", 6).alias("score")))
-query("vector_ties", ranked_sql("SELECT vec_id, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.0 END AS score FROM embeddings", "vec_id", 30))(lambda s, d: ranked(find(table(s, d, "embeddings").select("vec_id", F.when(F.col("label") % 2 == 0, F.array(F.lit(2.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0))).alias("v")), {}, "vec_id").vector_search("v", [1.0, 0.0], 30).df, "vec_id"))
+query("vector_ties", ranked_sql("SELECT vec_id, CASE WHEN label < 5 THEN 1.0 ELSE 0.0 END AS score FROM embeddings", "vec_id", 30))(lambda s, d: ranked(find(table(s, d, "embeddings").select("vec_id", F.when(F.col("label") < 5, F.array(F.lit(2.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0))).alias("v")), {}, "vec_id").vector_search("v", [1.0, 0.0], 30).df, "vec_id"))
 query("vector_zero_query", "SELECT vec_id, 1 AS rank, 0.0 AS score FROM embeddings WHERE false")(lambda s, d: ranked(find(table(s, d, "embeddings"), {}, "vec_id").vector_search("embedding", [0.0] * 64).df, "vec_id"))
 
 _TOK = r"""(SELECT doc_id, lang, list_filter(flatten(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+(?:[._-][a-zA-Z0-9]+)*'),
@@ -213,46 +213,42 @@ query("dequantize_int8_cosine", f"SELECT vec_id, round(list_cosine_similarity(li
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(cosine(dequantize(quantize(F.col("embedding"), "int8"), "int8"), VECTOR), 6).alias("score")))
 
 
-# log and writes, on a log made of orders: all inserted, those of status F changed, those of a key divisible by 7 deleted
+# log and writes, on a log made of orders: all inserted, those of status F changed, those of status P deleted
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), "o_orderkey", "o_orderstatus", "o_totalprice")
     at = lambda op, k: (F.lit(op).alias("_op"), (F.col("o_orderkey") * 3 + k).alias("_seq"))
     a = o.select("*", *at(LIVE, 0))
     b = o.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2).select("*", *at(CHANGED, 1))
-    c = o.where("o_orderkey % 7 = 0").select("*", *at(GONE, 2))
+    c = o.where("o_orderstatus = 'P'").select("*", *at(GONE, 2))
     return a.unionByName(b).unionByName(c)
 
 
-_LIVE = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 0"
+_LIVE = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'"
 query("log_replay_latest", _LIVE)(lambda s, d: replay(order_log(s, d)).select("o_orderkey", "o_orderstatus", "o_totalprice"))
-query("log_stats", "SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS documents, (SELECT count(*) + count(*) FILTER (o_orderstatus = 'F') + count(*) FILTER (o_orderkey % 7 = 0) FROM orders) - (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS dead_records")(
+query("log_stats", "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS documents, (SELECT count(*) + count(*) FILTER (o_orderstatus = 'F') + count(*) FILTER (o_orderstatus = 'P') FROM orders) - (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS dead_records")(
     lambda s, d: replay(order_log(s, d)).agg(F.count(F.lit(1)).alias("documents")).crossJoin(order_log(s, d).agg(F.count(F.lit(1)).alias("n"))).select("documents", (F.col("n") - F.col("documents")).alias("dead_records")))
 query("update_set_unset_inc", "SELECT o_orderkey, 'done' AS o_orderstatus, o_totalprice + 1.5 AS o_totalprice, 2 AS tries, NULL::VARCHAR AS o_orderpriority FROM orders WHERE o_orderstatus = 'P'")(
     lambda s, d: changed(find(table(s, d, "orders"), {"o_orderstatus": "P"}, "o_orderkey").to_dataframe(), {"o_orderstatus": "done"}, ["o_orderpriority"], {"o_totalprice": 1.5, "tries": 2}).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("tries").cast("int").alias("tries"), "o_orderpriority"))
 
 
-def scratch() -> str:
-    return tempfile.mkdtemp(prefix="quern-")
-
-
 # formats; the driver reads and writes these, so they run on small tables
 @query("json_roundtrip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def json_roundtrip(spark, sf_dir):
-    path = os.path.join(scratch(), "nation.json")
+    path = os.path.join(shared_folder(spark, "files"), "nation.json")
     files.write_json(table(spark, sf_dir, "nation"), path)
     return files.read_json(spark, path).select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("sqlite_roundtrip", "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
 def sqlite_roundtrip(spark, sf_dir):
-    path = os.path.join(scratch(), "region.db")
+    path = os.path.join(shared_folder(spark, "files"), "region.db")
     files.write_sqlite(table(spark, sf_dir, "region"), path, "region", "r_regionkey")
     return files.read_sqlite(spark, path).select("r_regionkey", "r_name")
 
 
 @query("bson_roundtrip", "SELECT n_nationkey::VARCHAR AS _id, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def bson_roundtrip(spark, sf_dir):
-    path = os.path.join(scratch(), "nation.log")
+    path = os.path.join(shared_folder(spark, "files"), "nation.log")
     with open(path, "wb") as f:
         for r in table(spark, sf_dir, "nation").toLocalIterator():
             f.write(bson.frame(LIVE, {"_id": str(r["n_nationkey"]), "n_name": r["n_name"], "n_regionkey": r["n_regionkey"]}))
