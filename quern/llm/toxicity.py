@@ -16,7 +16,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, col, fresh, table
+from .common import bucket, col, fresh, table, written
 
 FOLDS, HELD = 5, 0
 DECAY, SPAN = 0.75, 6
@@ -32,14 +32,16 @@ DECAY, SPAN = 0.75, 6
 DOCS, CANDIDATES, NEGATIVES, LANDMARKS = 3000, 400, 6000, 160
 #: log-likelihood ratio of a string's share of toxic sentences above which it counts as an insult
 EVIDENCE = 28.0
-MINING = 3
-CACHE = 600_000
+MINING = 2
+CACHE = 250_000
+SAMPLE_PARTS = 16
 BASE = 32
 #: units of a document that count, and the value below which a unit counts as no insult at all
-TOP, FLOOR = 4, -0.8
+TOP, FLOOR = 4, -0.6
 #: a clean document taken for a toxic one costs so many times the other error
 CLEAN_COST = 2.0
 OFFSETS = [(0, *c) for n in (2, 3) for c in combinations(range(1, SPAN), n)]
+PUNCTUATION = ".,;:?\"'()"
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 
@@ -50,21 +52,18 @@ def _symbol(c: str) -> int:
     return ord(base) - 96 if "a" <= base <= "z" else 27 + ord(c) % 4
 
 
-_SYMBOLS: dict[str, int] = {}
+SYMBOLS = (27 + np.arange(0x110000) % 4).astype(np.uint8)
+for _i in (*range(0x250), *range(0x1E00, 0x1F00)):  # Latin letters, marked or not, are the letter
+    SYMBOLS[_i] = _symbol(chr(_i))
 
 
 def encode(units: list[str]) -> np.ndarray:
     """Symbols 1 to 30 of each unit after a 31 that stands for its start; 0 pads, SPAN - 1 of them at least."""
-    width = max(map(len, units), default=0) + SPAN
-    out = np.zeros((len(units), width), dtype=np.int32)
-    for i, u in enumerate(units):
-        row = [31]
-        for c in u:
-            s = _SYMBOLS.get(c)
-            if s is None:
-                s = _SYMBOLS[c] = _symbol(c)
-            row.append(s)
-        out[i, : len(row)] = row
+    n = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+    out = np.zeros((len(units), int(n.max(initial=0)) + SPAN), dtype=np.int32)
+    out[:, 0] = 31
+    points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    out[np.repeat(np.arange(len(units)), n), np.arange(len(points)) - np.repeat(np.cumsum(n) - n, n) + 1] = SYMBOLS[points]
     return out
 
 
@@ -174,8 +173,8 @@ class Scorer:
             part = order[at : max(to, at + 1)]
             codes = encode([units[i] for i in part])
             total = np.zeros(len(part))
-            for f, there, w in _weights(codes):
-                total += (self.table.take(f) * there).sum(axis=1) * w
+            for f, _, w in _weights(codes):  # no subsequence that runs into the padding has a weight
+                total += self.table.take(f).sum(axis=1) * w
             out[part] = total / norms((codes > 0).sum(axis=1)) + self.bias
             at += len(part)
         return out
@@ -225,21 +224,17 @@ def tokens_of(text: str | None) -> set[str]:
     """Words between white space in lower case, and runs of three or more lone letters, joined."""
     words = (text or "").lower().split()
     out = set(words)
-    run: list[str] = []
-    if any(len(w) <= 2 for w in out):
-        for w in [*words, "   "]:
-            if len(w) <= 2 and sum(map(str.isalnum, w)) == 1:
-                run.append(next(filter(str.isalnum, w)))
-                continue
-            if len(run) > 2:
-                out.add("".join(run))
-            run = []
+    lone = [i for i, w in enumerate(words) if len(w) == 1]
+    if len(lone) > 2:
+        for i, j in pairwise([k for k in range(len(lone) + 1) if not 0 < k < len(lone) or lone[k] != lone[k - 1] + 1]):
+            if j - i > 2:
+                out.add("".join(words[k] for k in lone[i:j]))
     return out
 
 
 def units_of(token: str) -> list[str]:
     """What of a token is scored: its letters and digits without what lies between, digits read as letters too, and its parts."""
-    if token.isalpha():
+    if token.isalpha() or (token := token.strip(PUNCTUATION)).isalpha():
         return [token]
     parts = re.split(r"[\W_]+", token)
     whole = "".join(parts)
@@ -282,58 +277,55 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     ids = F.broadcast(spark.createDataFrame(lab, f"id {kind}, toxic int"))
-    sample = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id").select("text", "toxic").cache()
-    counts = sample.mapInPandas(_strings, "s string, kind int, a long, b long").groupBy("s", "kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).cache()
-    try:
-        total = counts.where("kind = 2").collect()
-        if not total or not total[0]["a"] or not total[0]["b"]:
-            return None
-        n_a, n_b = total[0]["a"], total[0]["b"]
-        a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), F.col("a") + F.col("b")
-        g = 2 * (a * F.log(a * (n_a + n_b) / (n * n_a)) + F.when(b > 0, b * F.log(b * (n_a + n_b) / (n * n_b))).otherwise(0))
-        marked = counts.where((F.col("kind") < 2) & (a * n_b > 8 * b * n_a)).withColumn("g", g).where(F.col("g") >= min_evidence).orderBy(F.desc("g"), "s").limit(CANDIDATES).collect()
-        if not marked:
-            return None
-        starts = {r["s"] for r in marked if r["kind"] == 0}
-        whole = {r["s"] for r in marked if r["kind"] == 1}
-        starts = {s for s in starts if not any(w.startswith(s) and len(w) - len(s) <= 6 and w in whole for w in whole)}
-        starts = {s for s in starts if not any(s != t and s.startswith(t) for t in starts)}
-        seen = counts.where("kind = 1")
-        if starts:
-            began = seen.where(F.col("a") > 0).where(F.col("s").rlike("^(?:" + "|".join(map(re.escape, sorted(starts))) + ")")).orderBy(F.desc("a"), "s").limit(CANDIDATES).collect()
-        else:
-            began = []
-        insults = sorted(whole | {r["s"] for r in began if not r["b"]})
-        negative = {r["s"] for r in seen.where("b > 0").orderBy(F.xxhash64("s"), "s").limit(NEGATIVES).collect()}
-        negative |= {r["s"] for r in seen.where("b > 0").orderBy(F.desc("b"), "s").limit(NEGATIVES // 4).collect()}
-        negative = sorted(w for w in negative if w and w not in whole)
-        if not negative:
-            return None
-        positive = list(insults) + sorted(starts)
-        for u in sorted(whole | starts):
-            for i in range(1, len(u)):
-                positive += [u[:i] + u[i] + u[i:], u[:i] + "xqjz"[i % 4] + u[i:]]
-        order = lambda u: hashlib.md5(u.encode()).digest()
-        marks = sorted(starts) + sorted(whole) + sorted(insults, key=order)
-        hard: list[str] = []
-        for _ in range(MINING + 1):  # clean words that the model takes for insults join the negatives, and lend landmarks
-            other = sorted(negative, key=order)
-            landmarks = list(dict.fromkeys(marks[: LANDMARKS // 2] + hard[: LANDMARKS // 4] + other))[:LANDMARKS]
-            feats, weights, bias = train(positive, negative, landmarks)
-            model = {"feats": feats, "weights": weights, "bias": bias}
-            hard = [r["s"] for r in features_of(seen.where("b > 0").select("s"), model, "s").where(F.col("units")[0] > FLOOR).orderBy(F.col("units")[0].desc(), "s").limit(NEGATIVES // 4).collect()]
-            hard = [w for w in hard if w not in whole]
-            if not set(hard) - set(negative):
-                break
-            negative = sorted(set(negative) | set(hard))
-        seen_docs = features_of(sample, model).select("toxic", "units").collect()
-        x, y = np.array([r["units"] for r in seen_docs]), np.array([float(r["toxic"]) for r in seen_docs])
-        if 0 < y.sum() < len(y):
-            model["logistic"] = logistic(x, y)
-        return model
-    finally:
-        counts.unpersist()
-        sample.unpersist()
+    sample = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id").select("text", "toxic")
+    sample = written(sample.repartition(SAMPLE_PARTS), "labelled")
+    counts = written(sample.mapInPandas(_strings, "s string, kind int, a long, b long").groupBy("s", "kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+    total = counts.where("kind = 2").collect()
+    if not total or not total[0]["a"] or not total[0]["b"]:
+        return None
+    n_a, n_b = total[0]["a"], total[0]["b"]
+    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), F.col("a") + F.col("b")
+    g = 2 * (a * F.log(a * (n_a + n_b) / (n * n_a)) + F.when(b > 0, b * F.log(b * (n_a + n_b) / (n * n_b))).otherwise(0))
+    marked = counts.where((F.col("kind") < 2) & (a * n_b > 8 * b * n_a)).withColumn("g", g).where(F.col("g") >= min_evidence).orderBy(F.desc("g"), "s").limit(CANDIDATES).collect()
+    if not marked:
+        return None
+    starts = {r["s"] for r in marked if r["kind"] == 0}
+    whole = {r["s"] for r in marked if r["kind"] == 1}
+    starts = {s for s in starts if not any(w.startswith(s) and len(w) - len(s) <= 6 and w in whole for w in whole)}
+    starts = {s for s in starts if not any(s != t and s.startswith(t) for t in starts)}
+    seen = counts.where("kind = 1")
+    if starts:
+        began = seen.where(F.col("a") > 0).where(F.col("s").rlike("^(?:" + "|".join(map(re.escape, sorted(starts))) + ")")).orderBy(F.desc("a"), "s").limit(CANDIDATES).collect()
+    else:
+        began = []
+    insults = sorted(whole | {r["s"] for r in began if not r["b"]})
+    negative = {r["s"] for r in seen.where("b > 0").orderBy(F.xxhash64("s"), "s").limit(NEGATIVES).collect()}
+    negative |= {r["s"] for r in seen.where("b > 0").orderBy(F.desc("b"), "s").limit(NEGATIVES // 4).collect()}
+    negative = sorted(w for w in negative if w and w not in whole)
+    if not negative:
+        return None
+    positive = list(insults) + sorted(starts)
+    for u in sorted(whole | starts):
+        for i in range(1, len(u)):
+            positive += [u[:i] + u[i] + u[i:], u[:i] + "xqjz"[i % 4] + u[i:]]
+    order = lambda u: hashlib.md5(u.encode()).digest()
+    marks = sorted(starts) + sorted(whole) + sorted(insults, key=order)
+    hard: list[str] = []
+    for _ in range(MINING + 1):  # clean words that the model takes for insults join the negatives, and lend landmarks
+        other = sorted(negative, key=order)
+        landmarks = list(dict.fromkeys(marks[: LANDMARKS // 2] + hard[: LANDMARKS // 4] + other))[:LANDMARKS]
+        feats, weights, bias = train(positive, negative, landmarks)
+        model = {"feats": feats, "weights": weights, "bias": bias}
+        hard = [r["s"] for r in features_of(seen.where("b > 0").select("s"), model, "s").where(F.col("units")[0] > FLOOR).orderBy(F.col("units")[0].desc(), "s").limit(NEGATIVES // 4).collect()]
+        hard = [w for w in hard if w not in whole]
+        if not set(hard) - set(negative):
+            break
+        negative = sorted(set(negative) | set(hard))
+    seen_docs = features_of(sample, model).select("toxic", "units").collect()
+    x, y = np.array([r["units"] for r in seen_docs]), np.array([float(r["toxic"]) for r in seen_docs])
+    if 0 < y.sum() < len(y):
+        model["logistic"] = logistic(x, y)
+    return model
 
 
 _SCORERS: dict = {}
