@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, col, fresh, table
+from .common import bucket, col, fresh, spread, table
 
 FOLDS, HELD = 4, 2
 #: The sample that a language is learned from: at most DOCS documents of it, a random window of CHARS code points each.
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs.select("doc_id", "text"), learn(docs)).select("doc_id", F.coalesce(bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(spread(docs.select("doc_id", "text")), learn(docs)).select("doc_id", F.coalesce(bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, table, written
+from .common import col, fresh, spread, table, written
 from .links import resolve
 
 #: most edits between linked lines; shortest line that is compared at all, and that may be linked to a different one
@@ -224,7 +224,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, table, written
+from .common import col, spread, table, written
 
 CAPACITY, END_ID, SLACK, CACHE = 2048, 1, 64, 400_000
 
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

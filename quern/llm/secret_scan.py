@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, table
+from .common import col, fresh, spread, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -195,7 +195,7 @@ def find(docs: DataFrame, text_col: str = "text", least: float = COST) -> DataFr
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = find(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("secrets", lambda s: s["kind"] != "guess")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, col, fresh, table, written
+from .common import bucket, col, fresh, spread, table, written
 
 FOLDS, HELD = 5, 0
 DECAY, SPAN = 0.75, 6
@@ -371,6 +371,6 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", F.coalesce(bucket(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", "predicted")
