@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from .common import col, spread, table, written
 
 CAPACITY, END_ID, SLACK, CACHE = 2048, 1, 64, 400_000
+#: workers whose open bins are filled together, again and again until all are together
+FAN_IN = 256
 
 
 class _Words(dict):
@@ -162,11 +165,11 @@ def _last_bins(capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (packed bytes) if asked for.
 
-    Each worker tokenizes its rows and fills its own bins; nothing is shuffled for those that get full. Bins that stay
-    open (at most one a class and worker) go on: first their pieces are packed by class again, one task a class, at
-    most classes * workers * j pieces of capacity / j tokens, so capacity tokens a class and worker; then what no
-    class could fill (one bin a class) is packed first-fit in one task. Pieces are written to the shared folder
-    before they are read twice, so tokens are made once and a lost executor can't mix two runs' bins.
+    Each worker tokenizes its rows and fills its own bins; nothing is shuffled for those that get full. Of each class a
+    worker leaves one open bin at most. The open bins of FAN_IN workers are filled together, by class, then those of
+    FAN_IN such groups, and so on: no task gets more than FAN_IN open bins of a class, and in the end one bin a class
+    is open, which is packed first-fit. Pieces are written to the shared folder before they are read twice, so tokens
+    are made once and a lost executor can't mix two runs' bins.
     Null and empty texts: the end id alone. Repeated rows are packed as often as they come. No rows: no rows.
     The same text gives the same ids wherever it lies; sequence ids depend on how rows lie in files.
     """
@@ -183,9 +186,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
         return pdf[fields]
 
-    late = written(p.where("open").groupBy("class").applyInPandas(again, more), "late")
-    last = late.where("open").groupBy().applyInPandas(lambda pdf: _last_bins(capacity)(pdf)[fields], more)
-    return p.where("not open").withColumn("sequence_id", F.col("bin") * 4).select(keep).unionByName(late.where("not open").select(keep)).unionByName(last.select(keep))
+    last_task = (p.agg(F.max("bin").alias("bin")).first()["bin"] or 0) >> 40
+    out, rest, tasks = [p.where("not open").withColumn("sequence_id", F.col("bin") * 4)], p.where("open"), 1
+    while True:
+        tasks *= FAN_IN
+        rest = written(rest.select(*p.columns, F.floor(F.shiftright("bin", 40) / tasks).alias("of")).groupBy("class", "of").applyInPandas(again, more), "open")
+        out.append(rest.where("not open"))
+        rest = rest.where("open").drop("sequence_id")
+        if tasks > last_task:
+            break
+    out.append(rest.groupBy().applyInPandas(lambda pdf: _last_bins(capacity)(pdf)[fields], more))
+    return reduce(DataFrame.unionByName, [o.select(keep) for o in out])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
