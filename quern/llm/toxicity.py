@@ -33,7 +33,7 @@ DOCS, CANDIDATES, NEGATIVES, LANDMARKS = 3000, 400, 6000, 160
 #: log-likelihood ratio of a string's share of toxic sentences above which it counts as an insult
 EVIDENCE = 28.0
 MINING = 2
-CACHE = 250_000
+CACHE = 120_000
 SAMPLE_PARTS = 16
 BASE = 32
 #: units of a document that count, and the value below which a unit counts as no insult at all
@@ -347,8 +347,8 @@ def features_of(docs: DataFrame, model: dict, text_col: str = "text") -> DataFra
         s = scorer(key, model)
         for texts in batches:
             texts, out = texts.tolist(), []
-            for i in range(0, len(texts), 500):
-                out += list(s.documents(texts[i : i + 500]))
+            for i in range(0, len(texts), 200):
+                out += list(s.documents(texts[i : i + 200]))
             yield pd.Series(out, dtype="object")
 
     (units,) = fresh(docs, "units")
