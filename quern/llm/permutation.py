@@ -3,7 +3,8 @@
 A vector is represented by its LENGTH nearest pivots in order. Each partition posts its vectors in one inverted file a
 pivot, with the place that the pivot has in the vector's order; a query reads the files of its own pivots, which gives
 every vector's footrule distance (a pivot that only one of two has counts as place LENGTH in the other). The share
-RERANK of rows nearest by footrule is reranked by exact distance, and the partitions' best are merged.
+RERANK of vectors nearest by footrule is reranked by exact distance, and the partitions' best are merged. Equal vectors
+of a segment are indexed once, with all their ids, and count as one in that share; pivots are distinct vectors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .vectors import best, matrix, search, usable
 
-#: pivots, a sample of so many vectors; pivots that represent a vector; share of rows, and least number a segment, to rerank
+#: pivots, a sample of so many vectors; pivots that represent a vector; share of distinct vectors, and least number a segment, to rerank
 PIVOTS, LENGTH, RERANK, LEAST = 512, 128, 0.05, 64
 #: rows whose inverted files are held at once
 SEGMENT = 65_536
@@ -50,6 +51,15 @@ class Files:
         return self.length * (self.length + 1) - 2 * shared
 
 
+def grouped(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of x, the ids in order of their row's place among these and then by size, and where each place begins and the last ends."""
+    x = np.ascontiguousarray(x + 0.0)  # no negative zeros, so that equal rows have equal bytes
+    _, first, place = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    place = place.ravel()
+    order = np.lexsort((ids, place))
+    return x[first], ids[order], np.searchsorted(place[order], np.arange(len(first) + 1))
+
+
 def knn(vectors: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int = 10, length: int = LENGTH, rerank: float = RERANK, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among (id, vec); its own id isn't among them.
 
@@ -62,18 +72,25 @@ def knn(vectors: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int = 10,
         perms = order_of(vecs, pivots, length)
 
         def segment(cand: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            x, cand, at = grouped(cand, x)
+            low, high = cand[at[:-1]], cand[at[1:] - 1]
             files = Files(order_of(x, pivots, length), len(pivots))
-            n = min(len(cand), max(least, k + 1, int(np.ceil(rerank * len(cand)))))
+            n = min(len(x), max(least, k + 1, int(np.ceil(rerank * len(x)))))
             out: list[list] = [[], [], []]
             for q, v, perm in zip(ids, vecs, perms):
                 f = files.footrule(perm)
-                near = np.argpartition(f, n - 1)[:n] if n < len(f) else np.arange(len(f))
-                near = near[cand[near] != q]
+                near = np.flatnonzero(f <= np.partition(f, n - 1)[n - 1])  # ties stay whole
+                near = near[(low[near] != q) | (high[near] != q)]
+                if not len(near):
+                    continue
                 d = x[near] - v
                 d = np.sqrt((d * d).sum(axis=1))
-                top = np.lexsort((cand[near], d))[:k]
+                fine = d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                got = [(c := cand[at[g] : at[g + 1]])[c != q][:k] for g in near[fine]]
+                got, d = np.concatenate(got), np.repeat(d[fine], [len(c) for c in got])
+                top = np.lexsort((got, d))[:k]
                 out[0] += [q] * len(top)
-                out[1] += cand[near][top].tolist()
+                out[1] += got[top].tolist()
                 out[2] += d[top].tolist()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
@@ -95,8 +112,18 @@ def knn(vectors: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int = 10,
 
 
 def pivots_of(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """A bounded sample: the n rows first by a hash of their ids."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id", "vec").limit(n).collect()
+    """A bounded sample: the n distinct vectors first by their hashes. A task sends n at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b])
+            h, first = np.unique(held.column(0).to_numpy(), return_index=True)
+            held = held.take(first[:n]).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    rows = vectors.select(F.xxhash64("vec").alias("h"), "vec").mapInArrow(run, "h long, vec array<double>").dropDuplicates(["h"]).orderBy("h").limit(n).collect()
     return np.array([r["vec"] for r in rows]) if rows else np.zeros((0, 1))
 
 

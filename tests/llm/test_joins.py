@@ -229,6 +229,31 @@ def test_permutation_index(spark):
     assert 1100 not in {r["vec_id"] for r in got} | {r["query_id"] for r in got}
 
 
+@pytest.mark.parametrize("n, copies", [(700, 250), (3000, 1000)])
+def test_permutation_index_among_copies(spark, n, copies):
+    """A vector that a third of the rows share takes neither the pivots nor the reranked places of others; ties go to the smaller id."""
+    df, x = vectors(spark, n=n, copies=copies)
+    v = usable(df, "vec_id", "embedding", zero=False)
+    pivots = permutation.pivots_of(v, 64)
+    assert len(pivots) == 64 == len({tuple(p) for p in pivots})
+    e = np.array([x[i] for i in range(n)])
+    outside = copies + np.argsort(((e[copies:] - e[0]) ** 2).sum(axis=1))
+    asked = {0, 5, 100, *range(copies, n, 97), *outside[:30].tolist()}
+    found = {}
+    for r in permutation.knn(v, v.where(F.col("id").isin(*asked)), pivots, length=32).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    hit = 0
+    for q in asked:
+        d = np.sqrt(((e - e[q]) ** 2).sum(axis=1))
+        pool = sorted([(float(d[i]), i) for i in range(n) if i != q] + ([(float(d[0]), 100)] if q != 100 else []))[:10]
+        mine = [t[1:] for t in sorted(found[q])]
+        if q < copies:
+            assert mine == pool
+        assert mine == sorted(mine) and len(mine) == 10
+        hit += sum(s <= pool[-1][0] + 1e-9 for s, _ in mine)
+    assert hit / (10 * len(asked)) >= 0.9
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     e = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in table(spark, sf, "embeddings").collect()}
