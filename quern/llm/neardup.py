@@ -15,6 +15,8 @@ from .links import resolve
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.99
 CACHE = 500_000
+#: texts, and code points, of a class that are compared with one another in one task's memory; larger classes are cut into such blocks
+BLOCK, CHARS = 256, 2_000_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
@@ -115,12 +117,64 @@ def _verify(threshold: float, n: int):
     return run
 
 
+def _counts(threshold: float, n: int):
+    """(id, n_links) of each run of rows (label, i, j, block, id, text): near texts of a row's in its block if i = j, in the other block else."""
+
+    def count(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        m, cross = len(rows), rows[0][1] != rows[0][2]
+        numbers: dict[tuple[str, ...], int] = {}
+        sets = [np.fromiter((numbers.setdefault(g, len(numbers)) for g in grams(words(t), n)), dtype=np.int64) for *_, t in rows]
+        size, block = np.array([len(x) for x in sets]), np.array([r[3] for r in rows])
+        gram = np.concatenate(sets)
+        order = np.argsort(gram, kind="stable")
+        holders, at = np.repeat(np.arange(m), size)[order], np.searchsorted(gram[order], np.arange(len(numbers) + 1))
+        out = []
+        for r, x in enumerate(sets):
+            k = at[x + 1] - at[x]
+            both = np.bincount(holders[np.repeat(at[x] - np.cumsum(k) + k, k) + np.arange(k.sum())], minlength=m)
+            near = (both > 0) & (both >= threshold * (size[r] + size - both))
+            near[r] = False
+            out.append(int((near & (block != block[r])).sum() if cross else near.sum()))
+        return [r[4] for r in rows], out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: tuple[list[int], list[int]] = ([], [])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    for o, x in zip(out, count(held)):
+                        o += x
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["id", "n_links"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in count(held)], names=["id", "n_links"])
+
+    return run
+
+
+def n_links(labels: DataFrame, texts: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, chars: int = CHARS) -> DataFrame:
+    """(id, n_links) of texts that have a label: how many different texts of the same class are near. Every pair of a class is compared, on its full sets.
+
+    Near texts always share a label, so nothing else need be compared. A class is cut into blocks by a hash of its ids,
+    and each two blocks meet in a task.
+    """
+    t = texts.join(labels, "id").select("label", "id", "text")
+    n_blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.length("text")) / chars)).cast("int")
+    t = t.join(t.groupBy("label").agg(n_blocks.alias("n")), "label").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
+    t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    t = t.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text")
+    met = t.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j").mapInArrow(_counts(threshold, n), "id long, n_links long")
+    return met.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+
 def text_id(text: str) -> Column:
     return F.xxhash64(col(text))
 
 
 def classes(docs: DataFrame, text_col: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(labels, links): (id, label) of texts that have a near text, and (a, b, ...) between different near texts, by text id.
+    """(labels, texts): (id, label) of texts that have a near text, and (id, text), once each, of those that may have one, by text id.
 
     A text's id is its 64-bit hash, so copies are one text from the start: a task signs each of them once, and hot
     groups of copies are a row a task before the shuffle. Two texts are near if their n-gram sets have a Jaccard index
@@ -138,20 +192,19 @@ def classes(docs: DataFrame, text_col: str = "text", n: int = N, threshold: floa
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, n), "a long, b long")
 
-    links, labels = resolve(members, verify)
-    return labels, links
+    return resolve(members, verify)[1], texts
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row a document: doc_id, class_id (the smallest doc_id of its class), class_size (documents), n_links (verified links of its text to different texts), keep.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, **how) -> DataFrame:
+    """One row a document: doc_id, class_id (the smallest doc_id of its class), class_size (documents), n_links (how many different texts of its class are near its text, each verified), keep.
 
     A class is a connected component of links, and copies of its texts. keep marks the document that stays: the
     smallest id, nulls last, then the smallest text id; rows that repeat both are one document. Null texts: a class of
     their own each, with no class_id but their doc_id.
     """
-    labels, links = classes(docs, text_col, **how)
+    labels, texts = classes(docs, text_col, n=n, threshold=threshold, **how)
     k = docs.select(col(id_col).alias("doc_id"), text_id(text_col).alias("id"), col(text_col).isNull().alias("none"))
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = written(n_links(labels, texts, n, threshold, block), "ends")
     known = labels.join(ends, "id", "left")
     k = written(k.join(known, "id", "left").select("doc_id", "id", "none", F.coalesce("label", "id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "keyed")
     first = k.where("not none").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "id")).alias("f"), F.count(F.lit(1)).alias("class_size"))

@@ -119,6 +119,29 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({s.find(i) for i in g})
 
 
+@pytest.mark.parametrize("block", [neardup.BLOCK, 7])
+def test_every_link_counts(spark, block):
+    """n_links is that of brute force over distinct texts, whether a class is one block or several."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for size in (1, 2, 3, 3, 40):
+        base = [r.choice(words) for _ in range(60)]
+        for _ in range(size):
+            t = list(base)
+            for _ in range(r.randint(1, 6)):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join(t))
+    three = " ".join(r.choice(words) for _ in range(60))
+    texts += [three, three + " x", three + " y", texts[3], texts[3], "one", "one", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    g = {t: neardup.grams(neardup.words(t)) for t in texts}
+    want = {t: sum(bool(x & y) and len(x & y) >= neardup.THRESHOLD * len(x | y) for o, y in g.items() if o != t) for t, x in g.items()}
+    got = {x["doc_id"]: x["n_links"] for x in neardup.near_duplicates(df, block=block).collect()}
+    assert got == {i: want[t] for i, t in enumerate(texts)}
+    assert want[three] == 2 and max(want.values()) > 20
+
+
 def test_bands():
     b, r = neardup.bands_for(0.5, 0.99)
     assert 1 - (1 - 0.5**r) ** b >= 0.99 and b * r <= 128
