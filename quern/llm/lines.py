@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import col, fresh, spread, table, written
 from .links import resolve
 
-#: most edits between linked lines; shortest line that is compared at all, and that may be linked to a different one
-TAU, SHORTEST, SHORTEST_NEAR = 2, 20, 40
+#: most edits between linked lines; shortest line that is compared at all (blank ones never are), and that may be linked to a different one
+TAU, SHORTEST, SHORTEST_NEAR = 2, 1, 20
+#: what a line holds that isn't blank
+SEEN = r"[^\p{IsWhite_Space}]"
 #: ids that are broadcast at most; beyond, texts are shuffled to them
 BROADCAST_IDS = 1_000_000
 WORD = (1 << 64) - 1
@@ -118,9 +120,9 @@ def keys(line: Column, length: Column, tau: int = TAU) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
-    """(k1, k2, doc_id, no, line, n, h1, h2): the lines of at least shortest code points, with their document's key and their own hashes."""
+    """(k1, k2, doc_id, no, line, n, h1, h2): the lines of at least shortest code points that aren't blank, with their document's key and their own hashes."""
     d = docs.where(col(text_col).isNotNull()).select(*doc_key(id_col, text_col), col(id_col).alias("doc_id"), F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
-    return d.withColumn("n", F.length("line")).where(F.col("n") >= shortest).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return d.withColumn("n", F.length("line")).where((F.col("n") >= shortest) & F.col("line").rlike(SEEN)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -183,8 +185,8 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau
     """(k1, k2, dropped, n_near) by document key: numbers of the lines to drop, from 0, in order, and how many of its lines have a link to a different one.
 
     Lines of one class (copies, and what links of different lines connect) are one line: its first place stays, by
-    doc_id, nulls last, then the document's key, then line number. Shorter lines than shortest always stay; those of at
-    least shortest_near code points may be linked to different ones. Null and empty texts have no such lines.
+    doc_id, nulls last, then the document's key, then line number. Blank lines, and shorter ones than shortest, always stay; those of at
+    least shortest_near code points may be linked to different ones. Null and empty texts have no lines that are compared.
     """
     lines = lines_of(docs, id_col, text_col, shortest)
     labels, _ = classes(lines.where(F.col("n") >= shortest_near), tau)
@@ -217,7 +219,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = docs.withColumns({k1: a, k2: b}).join(lost, [k1, k2], "left")
     text = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda x, i: ~F.array_contains(col(gone), i)), "\n")
     new = d.withColumn(text_col, F.when(col(gone).isNull(), col(text_col)).otherwise(text))
-    new = new.where(col(gone).isNull() | F.coalesce(F.length(F.trim(col(text_col))) > 0, F.lit(True)))
+    new = new.where(col(gone).isNull() | col(text_col).rlike(SEEN))
     if chars_col and chars_col in docs.columns:
         new = new.withColumn(chars_col, F.when(col(gone).isNull(), col(chars_col)).otherwise(F.length(col(text_col)).cast(docs.schema[chars_col].dataType)))
     return new.select(*[col(c) for c in docs.columns])

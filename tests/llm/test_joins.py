@@ -199,6 +199,14 @@ def test_lines_of_odd_rows(spark):
     assert {r["doc_id"] for r in lines.deduplicate(odd_docs(spark)).collect()} == {None, 1, 2, 3, 4, 6, 7, 8}
 
 
+def test_short_lines(spark):
+    """Short lines go if they are exact copies, those of 20 code points on if they are near; blank ones stay."""
+    texts = ["yes\n\nHe said so, at 12 o'clock.\nno", "yes\n \nHe said so, at 11 o'clock.\nyet", "\n\u3000\nno\nno\n", "\u3000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: r["dropped"] for r in lines.report(df).collect()} == {0: [], 1: [0, 2], 2: [2, 3], 3: []}
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {0: texts[0], 1: " \nyet", 3: texts[3]}
+
+
 def vectors(spark, n=700, d=8, seed=1, copies=250):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, d)).round(2)
