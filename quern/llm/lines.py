@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, fresh, spread, table, written
-from .links import resolve
+from .links import every_link, resolve
 
 #: most edits between linked lines; shortest line that is compared at all (blank ones never are), and that may be linked to a different one
 TAU, SHORTEST, SHORTEST_NEAR = 2, 1, 20
@@ -160,8 +160,8 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*tail)
 
 
-def classes(lines: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) of different lines at most tau edits apart: (id, label), (a, b), an id being the line's h1."""
+def classes(lines: DataFrame, tau: int = TAU, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labels, links) of different lines at most tau edits apart: (id, label), (a, b), an id being the line's h1. All links if every, else those that the labels took."""
     posted = lines.select(F.explode(keys(F.col("line"), F.col("n"), tau)).alias("bucket"), F.col("h1").alias("id"))
     members = written(posted.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_several, "bucket long, id long"), "segments")
     ids = written(members.select("id").distinct(), "ids")
@@ -178,37 +178,55 @@ def classes(lines: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
     links, labels = resolve(members, verify)
-    return labels, links
+    return labels, written(every_link(members, labels, verify), "every") if every else links
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shortest: int = SHORTEST, shortest_near: int = SHORTEST_NEAR) -> DataFrame:
-    """(k1, k2, dropped, n_near) by document key: numbers of the lines to drop, from 0, in order, and how many of its lines have a link to a different one.
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shortest: int = SHORTEST, shortest_near: int = SHORTEST_NEAR, told: bool = False) -> DataFrame:
+    """(k1, k2, dropped, n_near, classes) by document key: numbers of the lines to drop, from 0, in order, and how many of its lines have a link to a different one.
+
+    classes, empty unless told, has a (no, class_doc_id, class_no, n_links) for each line whose class has several places,
+    in order: the class's first place, and to how many different lines it is linked.
 
     Lines of one class (copies, and what links of different lines connect) are one line: its first place stays, by
     doc_id, nulls last, then the document's key, then line number. Blank lines, and shorter ones than shortest, always stay; those of at
     least shortest_near code points may be linked to different ones. Null and empty texts have no lines that are compared.
     """
     lines = lines_of(docs, id_col, text_col, shortest)
-    labels, _ = classes(lines.where(F.col("n") >= shortest_near), tau)
+    labels, links = classes(lines.where(F.col("n") >= shortest_near), tau, told)
+    if told:
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        labels = labels.join(ends, "id", "left")
+    else:
+        labels = labels.withColumn("n_links", F.lit(None).cast("long"))
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "no")
-    o = lines.select("k1", "k2", "doc_id", "no", "h1", "h2").join(labels.select(F.col("id").alias("h1"), "label"), "h1", "left")
-    o = o.select("k1", "k2", "no", at.alias("at"), F.coalesce("label", "h1").alias("c1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("label").isNotNull().alias("near"))
+    o = lines.select("k1", "k2", "doc_id", "no", "h1", "h2").join(labels.select(F.col("id").alias("h1"), "label", "n_links"), "h1", "left")
+    o = o.select("k1", "k2", "no", at.alias("at"), F.coalesce("label", "h1").alias("c1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("label").isNotNull().alias("near"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     o = written(o, "places")
     several = o.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
     some = o.join(several, ["c1", "c2"], "left_semi")
     first = some.groupBy("c1", "c2").agg(F.min("at").alias("first"))
-    d = some.join(first, ["c1", "c2"]).where(~((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2")) & (F.col("no") == F.col("first.no"))) | F.col("near"))
-    gone = F.when((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("no") != F.col("first.no")), F.col("no"))
-    return d.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(gone)).alias("dropped"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"))
+    d = some.join(first, ["c1", "c2"])
+    other = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("no") != F.col("first.no"))
+    if not told:
+        d = d.where(other | F.col("near"))
+    place = F.struct("no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.no").alias("class_no"), "n_links")
+    return d.groupBy("k1", "k2").agg(
+        F.array_sort(F.collect_set(F.when(other, F.col("no")))).alias("dropped"), F.count_distinct(F.when(F.col("near"), F.col("no"))).alias("n_near"), F.array_sort(F.collect_set(F.when(F.lit(told), place))).alias("classes")
+    )
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row a document: doc_id, n_lines, n_kept, n_near, dropped. Null text: no lines."""
+    """One row a document: doc_id, n_lines, n_kept, n_near, n_links, dropped, classes. Null text: no lines.
+
+    classes is as in dropped(): lines that aren't in it are classes of their own, without links. n_links is their sum.
+    """
     d = docs.select(*doc_key(id_col, text_col), col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(col(text_col), "\n", -1)), F.lit(0)).alias("n"), col(text_col).isNull().alias("none"))
-    d = d.join(dropped(docs, id_col, text_col, **how), ["k1", "k2"], "left")
+    d = d.join(dropped(docs, id_col, text_col, told=True, **how), ["k1", "k2"], "left")
+    classes_ = F.coalesce("classes", F.array().cast(d.schema["classes"].dataType))
+    n_links = F.aggregate(classes_, F.lit(0).cast("long"), lambda a, x: a + x["n_links"])
     gone = F.coalesce("dropped", F.array().cast("array<int>"))
     n = F.when(F.col("none"), 0).otherwise(F.col("n")).cast("long")
-    return d.select("doc_id", n.alias("n_lines"), (n - F.size(gone)).alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), gone.alias("dropped"))
+    return d.select("doc_id", n.alias("n_lines"), (n - F.size(gone)).alias("n_kept"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), n_links.alias("n_links"), gone.alias("dropped"), classes_.alias("classes"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:

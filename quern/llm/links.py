@@ -62,3 +62,18 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tup
             labels = written(components(links), "labels")
         open_ = tagged.where(F.col("n") > 2 ** (k + 1) - 2).select("bucket", "id", "n")
         k += 1
+
+
+def every_link(members: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], block: int = 512) -> DataFrame:
+    """(a, b), a < b: the verified pairs of all that share a bucket of the members (bucket, id), each once.
+
+    labels are resolve()'s: members of different components have no link, so they aren't paired. What a bucket holds of
+    a component is cut into blocks by a hash of the ids, and each two blocks meet in a join key of their own.
+    """
+    m = written(members.join(labels, "id").select("bucket", "label", "id"), "labelled")
+    n = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    m = m.join(n, ["bucket", "label"]).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    m = written(m.select("bucket", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"), "blocks")
+    met = m.withColumnsRenamed({"id": "a", "own": "x"}).join(m.withColumnsRenamed({"id": "b", "own": "y"}), ["bucket", "label", "i", "j"])
+    return verify(met.where("a < b AND (i = j OR x <> y)").select("a", "b").distinct())

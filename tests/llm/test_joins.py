@@ -207,6 +207,43 @@ def test_short_lines(spark):
     assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {0: texts[0], 1: " \nyet", 3: texts[3]}
 
 
+def test_line_classes_and_links(spark):
+    """Each line of a class of several places tells the class's first place and all its links, in large buckets too."""
+    r = random.Random(6)
+    data = [d for d in corpus(r) if d[0] % 3]
+    stem = "the same sentence, but for its last two letters "
+    data += [(1000 + i, stem + a + b, "en", "s", 50) for i, (a, b) in enumerate((a, b) for a in "abcdefg" for b in "hijklmn")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    every = [(i, no, x) for i, t, *_ in sorted(data) for no, x in enumerate(t.split("\n")) if x.strip()]
+    texts, s, n = sorted({x for *_, x in every}), Sets(), {}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if min(len(a), len(b)) >= lines.SHORTEST_NEAR and abs(len(a) - len(b)) <= lines.TAU and lev(a, b) <= lines.TAU:
+                s.join(a, b)
+                n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+    places = {}
+    for i, no, x in every:
+        places.setdefault(s.find(x), []).append((i, no))
+    want = {}
+    for i, no, x in every:
+        if len(places[s.find(x)]) > 1:
+            want.setdefault(i, []).append((no, *places[s.find(x)][0], n.get(x, 0)))
+    got = {x["doc_id"]: x for x in lines.report(df).collect()}
+    assert {i: [tuple(c) for c in x["classes"]] for i, x in got.items()} == {i: want.get(i, []) for i, *_ in data}
+    assert all(x["n_links"] == sum(c[3] for c in want.get(i, [])) for i, x in got.items()) and n[stem + "ah"] == 48
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_every_link_of_a_bucket(spark, block):
+    rows = [(1, i) for i in range(40)] + [(2, i) for i in range(30, 50)] + [(3, 99)]
+    def verify(pairs):
+        return pairs.where(F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10))
+    members = spark.createDataFrame(rows, "bucket long, id long")
+    _, labels = links.resolve(members, verify)
+    got = [(x["a"], x["b"]) for x in links.every_link(members, labels, verify, block).collect()]
+    assert sorted(got) == [(a, b) for a in range(50) for b in range(a + 1, 50) if a // 10 == b // 10]
+
+
 def vectors(spark, n=700, d=8, seed=1, copies=250):
     r = np.random.default_rng(seed)
     x = r.normal(size=(n, d)).round(2)
