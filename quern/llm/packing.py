@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -51,12 +53,24 @@ class Encoder:
         path = vocabulary or P.path("byte_bpe_50k.json")
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take what stands beside them aren't supported")
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.core = tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first, self.rest = _Words(self.core, ""), _Words(self.core, " ")
         self.newline = np.array(self.core.encode_ordinary("\n"), dtype="<u4").tobytes()
 
+    def ids(self, text: str) -> bytes:
+        """The text's ids as packed() gives them, but for added tokens of the file, as "<|endoftext|>", which are an id each."""
+        if self.split is None or not any(a in text for a in self.added):
+            return self.packed(text)
+        return b"".join(self.added[x] if i % 2 else self.packed(x) for i, x in enumerate(self.split.split(text)) if x)
+
     def packed(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
+        """The text's ids as little-endian unsigned 32-bit numbers; added tokens are text as any other."""
         try:
             if "\n\n\n" in text or text.endswith("\n\n"):
                 raise ValueError
@@ -118,7 +132,7 @@ def _pieces(vocabulary: str | None, capacity: int, slack: int, with_ids: bool):
         for b in batches:
             kind, out = b.column(0).type, []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = enc.packed(t or "") + end
+                ids = enc.ids(t or "") + end
                 n, at = len(ids) // 4, 0
                 for length, j in cuts(n, capacity, slack):
                     mine = held.setdefault(j, [])

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -245,6 +246,17 @@ def test_ids_are_the_tokenizers(parts):
     assert np.frombuffer(packing.encoder(None).packed(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_with_added_tokens():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t, enc, r = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder(None), random.Random(2)
+    parts = ["a", " ", "\n", "  ", "'s", "é", "\n\n", "<|endoftext|>", "<|endoftext|>", "<|", "endoftext|>"]
+    for text in ["a <|endoftext|> b", *("".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(300))]:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 32, 1023, 1024, 1025, 2047, 2048, 2049, 4000, 10_000])
 def test_cuts(n):
     out = packing.cuts(n)
