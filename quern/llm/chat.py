@@ -1,12 +1,14 @@
 """Chat formatting with typed content parts.
 
 A visitor turns the parts of a message (text, image, audio, document) into text with ordered placeholders, and records
-what each placeholder refers to and how many tokens it expands to. Turns are marked <|start|>role, newline, content, <|end|>.
+what each placeholder refers to and how many tokens it expands to. Turns are marked <|start|>role, newline, content, <|end|>,
+newline; a conversation is its turns one after the other. Turns, roles, texts and the masked text are read back from that string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +35,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(<)(\\*)\\(\||/?s>|/?SYS>>)", "$1$2$3"), r"(\[)(\\*)\\(/?INST\])", "$1$2$3")
 
 
+def role_line(role: Column) -> Column:
+    """A role as one line, reversibly: a backslash doubled, a newline as a backslash and n, control strings escaped; null: empty."""
+    return escape(F.replace(F.replace(F.coalesce(role, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+
+
 class PartVisitor:
     """Column expressions for one part each; subclass to change placeholders or token counts.
 
@@ -70,15 +77,21 @@ class PartVisitor:
 
 
 def turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, visitor: PartVisitor | None = None) -> DataFrame:
-    """One row a message: conv_id, turn, head, content, tail (joined, the formatted turn), loss (whether its content is trained on), attachments, tokens.
+    """One row a message: conv_id, turn, formatted (the turn's string), mask_start, mask_length (what of it is trained on, in code points; 0 long where nothing is), attachments, tokens.
 
-    Narrow: nothing is shuffled. Null role: empty; null text: empty; roles are escaped like texts. Only the assistant's
-    content is under the loss mask.
+    A message without typed parts is visited as one part, its text. Narrow: nothing is shuffled. Null role: empty; null
+    text: empty; control strings in texts and roles are escaped. Only the assistant's content is under the loss mask.
+    Very long texts stay whole, repeated rows are turns of their own, no rows: no rows; other columns aren't read.
     """
-    body = (visitor or PartVisitor()).visit(col(parts)) if parts else F.struct(escape(col(text)).alias("content"), F.array().cast("array<struct<kind:string,place:int,ref:string,tokens:bigint>>").alias("attachments"), F.lit(0).cast("long").alias("tokens"))
+    if parts is None:
+        one = {"type": F.lit("text"), "text": col(text)}
+        content = F.array(F.struct(*[one.get(n, F.lit(None)).alias(n) for n in ("type", "text", "ref", "width", "height", "seconds", "pages")])).cast(PARTS)
+    else:
+        content = col(parts)
     r = F.coalesce(col(role), F.lit(""))
-    out = messages.select(col(conv).alias("conv_id"), col(turn).alias("turn"), F.concat(F.lit(START), escape(F.replace(r, F.lit("\n"), F.lit(" "))), F.lit("\n")).alias("head"), body.alias("b"), (r == "assistant").alias("loss"))
-    return out.select("conv_id", "turn", "head", F.col("b.content").alias("content"), F.lit(END).alias("tail"), "loss", F.col("b.attachments").alias("attachments"), F.col("b.tokens").alias("tokens"))
+    out = messages.select(col(conv).alias("conv_id"), col(turn).alias("turn"), F.concat(F.lit(START), role_line(r), F.lit("\n")).alias("head"), (visitor or PartVisitor()).visit(content).alias("b"), (r == "assistant").alias("loss"))
+    size = lambda c: F.length(c).cast("long")
+    return out.select("conv_id", "turn", F.concat("head", "b.content", F.lit(END)).alias("formatted"), size("head").alias("mask_start"), F.when(F.col("loss"), size("b.content")).otherwise(F.lit(0).cast("long")).alias("mask_length"), F.col("b.attachments").alias("attachments"), F.col("b.tokens").alias("tokens"))
 
 
 def ordered(formatted: DataFrame) -> DataFrame:
@@ -87,55 +100,86 @@ def ordered(formatted: DataFrame) -> DataFrame:
     Only the sort needs memory, and it spills; a conversation of any length streams through, so a hot one fits too. Its
     text has to pass through one task, as its hash is sequential; formatting has been done before, by all.
     """
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "head", "content")
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of formatted text and mask, in the order of rows; keeps one conversation's running hashes only."""
-    key, state, done = None, None, []
+def plain(content: str) -> str:
+    """Text as it was before escape()."""
+    return re.sub(r"(\[)(\\*)\\(/?INST\])", r"\1\2\3", re.sub(r"(<)(\\*)\\(\||/?s>|/?SYS>>)", r"\1\2\3", content))
 
-    def close() -> None:
-        if state:
-            done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
 
-    for b in batches:
-        for conv, head, content, plain, tail, loss in zip(*(c.to_pylist() for c in b.columns)):
-            if state is None or conv != key:
-                close()
-                key, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role = head[len(START) : -1]
-            state[1] += 1
-            state[2].update(f"{_plain(role)}\n{plain}\n".encode("utf-8", "surrogatepass"))
-            if loss:
-                state[3] += len(plain)
-                state[4].update(plain.encode("utf-8", "surrogatepass"))
-            state[5] += len(head) + len(content) + len(tail)
-        if done:
-            yield _batch(done, b.schema.field(0).type)
-            done = []
-        kind = b.schema.field(0).type
-    close()
-    if done:
-        yield _batch(done, kind)
+def plain_role(line: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], plain(line))
+
+
+#: what the visitor puts in for a part that isn't text
+PLACEHOLDER = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+
+
+class Reader:
+    """Reads one conversation back from its string, which comes in pieces, cut anywhere; keeps one turn and running hashes."""
 
+    def __init__(self, conv):
+        self.conv, self.turns, self.chars, self.masked, self.attached, self.tokens = conv, 0, 0, 0, 0, 0
+        self.said, self.loss, self.rest = hashlib.sha256(), hashlib.sha256(), ""
 
-def _plain(role: str) -> str:
-    import re
+    def feed(self, piece: str, start: int, length: int, tokens: int) -> None:
+        """start and length: the mask, within the piece."""
+        self.chars += len(piece)
+        self.tokens += tokens
+        under = plain(piece[start : start + length])
+        self.masked += len(under)
+        self.loss.update(under.encode("utf-8", "surrogatepass"))
+        *done, self.rest = (self.rest + piece).split(END)
+        for t in done:
+            role, mark, content = t.removeprefix(START).partition("\n")
+            if not t.startswith(START) or not mark:
+                raise ValueError("not a conversation of this template")
+            self.turns += 1
+            self.attached += len(PLACEHOLDER.findall(content))
+            self.said.update(f"{plain_role(role)}\n{plain(content)}\n".encode("utf-8", "surrogatepass"))
 
-    return re.sub(r"(\[)(\\*)\\(/?INST\])", r"\1\2\3", re.sub(r"(<)(\\*)\\(\||/?s>|/?SYS>>)", r"\1\2\3", role))
+    def row(self) -> tuple:
+        if self.rest:
+            raise ValueError("a turn has no end")
+        return self.conv, self.turns, self.said.hexdigest(), self.masked, self.loss.hexdigest(), self.chars, self.attached, self.tokens
 
 
-def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], kind), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+COLUMNS = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attached_tokens")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a conversation, of the pieces of its string in order."""
+    now, done, kind = None, [], None
+
+    def batch() -> pa.RecordBatch:
+        c = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=COLUMNS)
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for conv, *piece in zip(*(c.to_pylist() for c in b.columns)):
+            if now is None or conv != now.conv:
+                if now:
+                    done.append(now.row())
+                now = Reader(conv)
+            now.feed(*piece)
+        if done:
+            yield batch()
+    if now:
+        done.append(now.row())
+        yield batch()
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of what turns() returned."""
-    o = ordered(formatted)
+    """COLUMNS of what turns() returned, a row a conversation, read from its string and its mask alone; only attached_tokens is summed up from the rows.
+
+    Null conv_id: a conversation of its own. No rows: no rows. Repeated rows are turns each. Columns besides those of turns() are ignored.
+    """
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    o = o.select("conv_id", "head", "content", unescape(F.col("content")).alias("plain"), "tail", "loss")
-    return o.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    o = ordered(formatted).select("conv_id", "formatted", "mask_start", "mask_length", "tokens")
+    return o.mapInArrow(_read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attached_tokens long")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +192,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(regexp_replace(text, '(<)(\\*)(\||/?s>|/?SYS>>)', '\1\2\\\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\2\\\3', 'g') AS content FROM m)
+o AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS line FROM m),
+e AS (SELECT *, '<|start|>' || regexp_replace(regexp_replace(line, '(<)(\\*)(\||/?s>|/?SYS>>)', '\1\2\\\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\2\\\3', 'g') || chr(10)
+  || regexp_replace(regexp_replace(text, '(<)(\\*)(\||/?s>|/?SYS>>)', '\1\2\\\3', 'g'), '(\[)(\\*)(/?INST\])', '\1\2\\\3', 'g') || '<|end|>' || chr(10) AS formatted FROM o)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, content)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, content) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(content) + length(role) + 18)::BIGINT AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attached_tokens
 FROM e GROUP BY conv_id
 """
