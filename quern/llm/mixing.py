@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, fresh, table
+from .common import col, fresh, spread, table, written
 
 WEIGHTS, SHARE, CAP, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
+#: sources up to which their table is broadcast; beyond, it is joined with each source cut into SALTS
+BROADCAST_SOURCES, SALTS = 100_000, 64
 
 
 def words(text: Column) -> Column:
@@ -43,30 +45,46 @@ def chance(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+def attached(docs: DataFrame, per: DataFrame, source: str, key: str, by: str, broadcast: int = BROADCAST_SOURCES, salts: int = SALTS) -> DataFrame:
+    """docs joined to per, a row a source, by null-safe source = key, which goes.
+
+    A per of at most broadcast rows is broadcast, so that no text is shuffled. A larger one is repeated salts times and
+    joined by source and salt, a hash of the column by, so that no source, however hot, is one task's.
+    """
+    per = written(per, "sources")
+    if per.count() <= broadcast:
+        return docs.join(F.broadcast(per), col(source).eqNullSafe(col(key))).drop(key)
+    a, b = fresh(docs, "salt", "salt_of")
+    rows = per.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return docs.withColumn(a, F.pmod(F.xxhash64(col(by)), F.lit(salts)).cast("int")).join(rows, col(source).eqNullSafe(col(key)) & (col(a) == col(b))).drop(a, b, key)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED, size_col: str | None = None, **how) -> DataFrame:
     """All rows and columns of docs, and size, source_size, target and copies (the last under free names if those are taken).
 
-    Only one row a source is shuffled; the per-source table joins back by null-safe source, and Spark broadcasts it
-    only while it is below its threshold. Null text or text without words: size 0. Null source: a source of its own, last.
-    Repeated rows of one doc_id draw alike. No rows: no rows.
+    Only one row a source is shuffled, and attached() joins it back. Null text or text without words: size 0. Null
+    source: a source of its own, last. Repeated rows of one doc_id draw alike; a null doc_id draws as any other. Very
+    long texts are counted whole. No rows: no rows. size_col: a column that holds the sizes, if they are known already.
     """
     size, total, target, copies, src = fresh(docs, "size", "source_size", "target", "copies", "mix_source")
-    sized = docs.withColumn(size, words(col(text_col)))
-    per = targets(docs.select(col(source_col).alias("source"), words(col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    words_ = words(col(text_col)) if size_col is None else col(size_col)
+    per = targets(docs.select(col(source_col).alias("source"), words_.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     per = per.select(F.col("source").alias(src), F.col("source_size").alias(total), F.col("target").alias(target))
     rate = F.when(col(total) > 0, col(target) / col(total)).otherwise(F.lit(0.0))
-    return (sized.join(per, col(source_col).eqNullSafe(col(src))).drop(src)
+    return (attached(docs.withColumn(size, words_), per, source_col, src, id_col, **how)
             .withColumn(copies, (F.floor(rate) + F.when(chance(col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")  # texts are counted once
+    m = mix(sized.withColumnRenamed("size", "n_words"), size_col="n_words")
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix says; those that get no copy go."""
-    (copies, one) = fresh(docs, "copies", "copy")
+    (one,) = fresh(docs, "copy")
     m = mix(docs)
     name = m.columns[-1]
     return m.where(col(name) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), col(name).cast("int")))).select(*[col(c) for c in docs.columns])
