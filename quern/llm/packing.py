@@ -120,38 +120,38 @@ def _pieces(vocabulary: str | None, capacity: int, slack: int, with_ids: bool):
         enc = encoder(vocabulary)
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, row = TaskContext.get().partitionId(), 0, -1
         end = np.array([END_ID], dtype="<u4").tobytes()
         held: dict[int, list[tuple]] = {}  # what the open bin of each class holds
         kind = None
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             c = list(zip(*rows)) if rows else [()] * (len(NAMES) - 1 + with_ids)
-            return pa.RecordBatch.from_arrays([pa.array(c[0], kind), *(pa.array(x, pa.int64()) for x in c[1:9]), pa.array(c[9], pa.bool_()), *([pa.array(c[10], pa.binary())] if with_ids else [])], names=NAMES[: 10 + with_ids])
+            return pa.RecordBatch.from_arrays([pa.array(c[0], kind), *(pa.array(x, pa.int64()) for x in c[1:10]), pa.array(c[10], pa.bool_()), *([pa.array(c[11], pa.binary())] if with_ids else [])], names=NAMES[: 11 + with_ids])
 
         for b in batches:
             kind, out = b.column(0).type, []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.ids(t or "") + end
-                n, at = len(ids) // 4, 0
+                n, at, row = len(ids) // 4, 0, row + 1
                 for length, j in cuts(n, capacity, slack):
                     mine = held.setdefault(j, [])
                     if not mine:
                         made += 1
                     piece = ids[4 * at : 4 * (at + length)]
-                    mine.append((d, at, length, zlib.crc32(piece), n, mine[-1][5] if mine else (part << 40) + made, j, len(mine), mine[-1][8] + mine[-1][2] if mine else 0, False, *([piece] if with_ids else [])))
+                    mine.append((d, at, length, zlib.crc32(piece), n, mine[-1][5] if mine else (part << 40) + made, j, len(mine), mine[-1][8] + mine[-1][2] if mine else 0, (part << 40) + row, False, *([piece] if with_ids else [])))
                     at += length
                     if len(mine) == j:
                         out += mine
                         held[j] = []
             yield batch(out)
         if kind is not None:
-            yield batch([(*x[:9], True, *x[10:]) for mine in held.values() for x in mine])
+            yield batch([(*x[:10], True, *x[11:]) for mine in held.values() for x in mine])
 
     return run
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "class", "slot", "offset", "open", "ids"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "class", "slot", "offset", "row_id", "open", "ids"]
 
 
 def _last_bins(capacity: int):
@@ -177,19 +177,20 @@ def _last_bins(capacity: int):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (packed bytes) if asked for.
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id, and ids (packed bytes) if asked for.
 
     Each worker tokenizes its rows and fills its own bins; nothing is shuffled for those that get full. Of each class a
     worker leaves one open bin at most. The open bins of FAN_IN workers are filled together, by class, then those of
     FAN_IN such groups, and so on: no task gets more than FAN_IN open bins of a class, and in the end one bin a class
     is open, which is packed first-fit. Pieces are written to the shared folder before they are read twice, so tokens
     are made once and a lost executor can't mix two runs' bins.
-    Null and empty texts: the end id alone. Repeated rows are packed as often as they come. No rows: no rows.
+    Null and empty texts: the end id alone. Repeated rows are packed as often as they come, each
+    under a row_id of its own, so (row_id, start) is a key where doc_ids repeat. Very long texts are cut, never left. No rows: no rows.
     The same text gives the same ids wherever it lies; sequence ids depend on how rows lie in files.
     """
-    kind = T.StructType([T.StructField("doc_id", docs.select(col(id_col)).schema[0].dataType), *[T.StructField(n, T.LongType()) for n in NAMES[1:9]], T.StructField("open", T.BooleanType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+    kind = T.StructType([T.StructField("doc_id", docs.select(col(id_col)).schema[0].dataType), *[T.StructField(n, T.LongType()) for n in NAMES[1:10]], T.StructField("open", T.BooleanType()), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
     p = written(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(_pieces(vocabulary, capacity, slack, with_ids), kind), "pieces")
-    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id", *(["ids"] if with_ids else [])]
     more = T.StructType([*kind.fields, T.StructField("sequence_id", T.LongType())])
     fields = [f.name for f in more.fields]
 
