@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are linked if at most TAU edits apart. A line is cut into TAU + 1 segments; a line within TAU edits of it holds one
-of them unchanged, near the place it has there. So each line posts its segments, and probes, for each length that a
-partner not longer than itself can have, the substrings at the places that segment may have moved to; both meet in
-buckets of (length, segment number, substring). Links are verified by banded bit-parallel edit distance.
+Lines are linked if they are few edits apart: edits() says how many, by the shorter line's length. A line is cut into one
+segment more than that; a line within so many edits of it holds one of them unchanged, near the place it has there. So
+each line posts its segments, and probes, for each length that a partner not longer than itself can have, the substrings
+at the places that segment may have moved to; both meet in buckets of (length, segment number, substring). Links are
+verified by banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -11,15 +12,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, fresh, spread, table, written
-from .links import every_link, resolve
-
-#: most edits between linked lines; shortest line that is compared at all (blank ones never are), and that may be linked to a different one
-TAU, SHORTEST, SHORTEST_NEAR = 2, 1, 20
+from .links import by_rare_grams, every_link, mixed, resolve
+
+#: most edits between linked lines, and one of them for each so many code points of the shorter line; below that length copies are linked to nothing else
+TAU, EACH = 2, 10
+#: length of the substrings by which lines of a bucket of unlike ones are told apart
+Q = 4
+#: lines that a task remembers, to post each of them once; code points whose keys are made at once
+CACHE, AT_ONCE = 500_000, 1 << 20
+#: most classes of lines that may count as hot, each with a share of all places above one in so many
+HOT = 10_000
 #: what a line holds that isn't blank
 SEEN = r"[^\p{IsWhite_Space}]"
 #: ids that are broadcast at most; beyond, texts are shuffled to them
@@ -79,7 +87,12 @@ def banded(s: str, t: str, k: int) -> int:
     return min(dist, k + 1)
 
 
-def within(a: str, b: str, k: int = TAU) -> bool:
+def edits(n: int, tau: int = TAU, each: int = EACH) -> int:
+    """Most edits between two linked lines, the shorter of which has n code points."""
+    return min(tau, n // each)
+
+
+def within(a: str, b: str, k: int) -> bool:
     """Whether at most k edits apart: what both begin and end with is taken off first."""
     if abs(len(a) - len(b)) > k:
         return False
@@ -100,29 +113,87 @@ def places(length: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """The buckets that a line posts to and probes, as hashes of (partner's length, segment number, substring).
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+
+
+def keys(lines: list[str], tau: int = TAU, each: int = EACH) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the line): what lines post to and probe, as hashes of (partner's length, segment number, substring).
 
     A segment i of a partner shorter by d moves by at most i to either side, as each move is an edit before it, and by
-    at most tau - i around d, as each is one behind it; both limits hold at once, which leaves few substrings to probe.
-    What a line posts is what it would probe in its own place for a partner of its own length, so one list serves both.
+    at most t - i around d, as each is one behind it, t being the edits allowed; both limits hold at once, which leaves
+    few substrings to probe. What a line posts is what it would probe in its own place for a partner of its own length,
+    so one list serves both. Substrings have polynomial hashes, read off sums over each line's beginning.
     """
-    out = []
-    for d in range(tau + 1):
-        n = length - d
-        base, longer = F.floor(n / (tau + 1)).cast("int"), (n % (tau + 1)).cast("int")
-        for i in range(tau + 1):
-            start = base * i + F.greatest(longer - (tau + 1 - i), F.lit(0))
-            size = base + (F.lit(tau + 1 - i) <= longer).cast("int")
-            for off in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
-                out.append(F.xxhash64(n, F.lit(i), F.substring(line, start + (off + 1), size)))
-    return F.array_distinct(F.array(*out))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str, shortest: int) -> DataFrame:
-    """(k1, k2, doc_id, no, line, n, h1, h2): the lines of at least shortest code points that aren't blank, with their document's key and their own hashes."""
+    n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    start = np.cumsum(n) - n
+    most = int(n.max(initial=0)) + 1
+    power = np.ones(most, dtype=np.uint64)
+    power[1:] = np.cumprod(np.full(most - 1, ODD, dtype=np.uint64))
+    back = np.ones(most, dtype=np.uint64)
+    back[1:] = np.cumprod(np.full(most - 1, pow(ODD, -1, 1 << 64), dtype=np.uint64))
+    place = np.arange(len(codes)) - np.repeat(start, n)
+    upto = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * power[place])])
+    buckets, who = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for t in range(1, tau + 1):
+        for d in range(t + 1):
+            of = np.flatnonzero((n - d >= t * each) & ((n - d < (t + 1) * each) | (t == tau)))
+            m, at = n[of] - d, start[of]
+            base, longer = m // (t + 1), m % (t + 1)
+            for i in range(t + 1):
+                a, size = base * i + np.maximum(longer - (t + 1 - i), 0), base + (t + 1 - i <= longer)
+                for off in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
+                    x = a + off
+                    fine = (x >= 0) & (x + size <= n[of])
+                    x, y, w = x[fine], size[fine], at[fine]
+                    h = (upto[w + x + y] - upto[w + x]) * back[x]
+                    buckets.append(mixed(h ^ (m[fine].astype(np.uint64) * np.uint64(64) + np.uint64(i)) * MIX).view(np.int64))
+                    who.append(of[fine])
+    return np.concatenate(buckets), np.concatenate(who)
+
+
+def _posted(tau: int, each: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            ids, lines, held = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                bucket, who = keys(lines, tau, each)
+                return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.array(ids, dtype=np.int64)[who])], names=["bucket", "id"])
+
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if i in seen:
+                    continue
+                if len(seen) < CACHE:
+                    seen.add(i)
+                ids.append(i)
+                lines.append(t)
+                held += len(t)
+                if held > AT_ONCE:
+                    yield out()
+                    ids, lines, held = [], [], 0
+            yield out()
+
+    return run
+
+
+def grams_of(line: str, q: int = Q) -> np.ndarray:
+    """Hashes of the line's substrings of q code points, repeats included."""
+    c = mixed(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1))
+    n = len(c) - q + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    h = c[:n].copy()
+    for i in range(1, q):
+        h = h * MIX + c[i : n + i]
+    return mixed(h)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, doc_id, no, line, n, h1, h2): the lines that aren't blank, with their document's key and their own hashes."""
     d = docs.where(col(text_col).isNotNull()).select(*doc_key(id_col, text_col), col(id_col).alias("doc_id"), F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
-    return d.withColumn("n", F.length("line")).where((F.col("n") >= shortest) & F.col("line").rlike(SEEN)).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return d.where(F.col("line").rlike(SEEN)).withColumns({"n": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def doc_key(id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -160,9 +231,9 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*tail)
 
 
-def classes(lines: DataFrame, tau: int = TAU, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(labels, links) of different lines at most tau edits apart: (id, label), (a, b), an id being the line's h1. All links if every, else those that the labels took."""
-    posted = lines.select(F.explode(keys(F.col("line"), F.col("n"), tau)).alias("bucket"), F.col("h1").alias("id"))
+def classes(lines: DataFrame, tau: int = TAU, each: int = EACH, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(labels, links) of different lines that are linked: (id, label), (a, b), an id being the line's h1. All links if every, else those that the labels took."""
+    posted = lines.where(F.col("n") >= each).select("h1", "line").mapInArrow(_posted(tau, each), "bucket long, id long")
     members = written(posted.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_several, "bucket long, id long"), "segments")
     ids = written(members.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -171,28 +242,34 @@ def classes(lines: DataFrame, tau: int = TAU, every: bool = False) -> tuple[Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(a, b) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns)) if within(s, t, tau)]
+            got = [(a, b) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns)) if within(s, t, edits(min(len(s), len(t)), tau, each))]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-    links, labels = resolve(members, verify)
-    return labels, written(every_link(members, labels, verify), "every") if every else links
+    def refine(open_: DataFrame) -> DataFrame:  # t edits change t * Q of a line's grams at most
+        own = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # a line has few
+        own = written(texts.join(own, "id").select("id", F.col("line").alias("text"), "buckets"), "unlike")
+        return by_rare_grams(own, grams_of, lambda t, _: Q * edits(len(t), tau, each) + 1)
+
+    links, labels, buckets = resolve(members, verify, refine)
+    return labels, written(every_link(buckets, labels, verify), "every") if every else links
 
 
-def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shortest: int = SHORTEST, shortest_near: int = SHORTEST_NEAR, told: bool = False) -> DataFrame:
+def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, each: int = EACH, told: bool = False, hot: int = HOT) -> DataFrame:
     """(k1, k2, dropped, n_near, classes) by document key: numbers of the lines to drop, from 0, in order, and how many of its lines have a link to a different one.
 
     classes, empty unless told, has a (no, class_doc_id, class_no, n_links) for each line whose class has several places,
     in order: the class's first place, and to how many different lines it is linked.
 
     Lines of one class (copies, and what links of different lines connect) are one line: its first place stays, by
-    doc_id, nulls last, then the document's key, then line number. Blank lines, and shorter ones than shortest, always stay; those of at
-    least shortest_near code points may be linked to different ones. Null and empty texts have no lines that are compared.
+    doc_id, nulls last, then the document's key, then line number. Blank lines always stay. Every other line is compared,
+    with edits(n, tau, each) edits allowed, which is none below each code points. Null and empty texts have no lines.
+    Classes that hold more than one in hot of all places, hot at most, are broadcast, so none is one task's.
     """
-    lines = lines_of(docs, id_col, text_col, shortest)
-    labels, links = classes(lines.where(F.col("n") >= shortest_near), tau, told)
+    lines = lines_of(docs, id_col, text_col)
+    labels, links = classes(lines, tau, each, told)
     if told:
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         labels = labels.join(ends, "id", "left")
@@ -202,10 +279,10 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau
     o = lines.select("k1", "k2", "doc_id", "no", "h1", "h2").join(labels.select(F.col("id").alias("h1"), "label", "n_links"), "h1", "left")
     o = o.select("k1", "k2", "no", at.alias("at"), F.coalesce("label", "h1").alias("c1"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), F.col("label").isNotNull().alias("near"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     o = written(o, "places")
-    several = o.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2")
-    some = o.join(several, ["c1", "c2"], "left_semi")
-    first = some.groupBy("c1", "c2").agg(F.min("at").alias("first"))
-    d = some.join(first, ["c1", "c2"])
+    per = written(o.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).where("n > 1"), "classes")
+    often = (per.agg(F.sum("n").alias("n")).first()["n"] or 0) / hot
+    own = o.join(F.broadcast(per.where(F.col("n") > often).drop("n")), ["c1", "c2"], "left")  # hot rows at most, as their n add up to no more than the sum
+    d = own.where("first is not null").unionByName(own.where("first is null").drop("first").join(per.where(F.col("n") <= often).drop("n"), ["c1", "c2"]))
     other = (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("no") != F.col("first.no"))
     if not told:
         d = d.where(other | F.col("near"))
@@ -215,10 +292,22 @@ def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau
     )
 
 
+def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers."""
+    out = []
+    for t, g in zip(texts, gone):
+        if t is not None and g is not None:
+            g = set(g.tolist())
+            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in g])
+        out.append(t)
+    return pd.Series(out, dtype="object")
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row a document: doc_id, n_lines, n_kept, n_near, n_links, dropped, classes. Null text: no lines.
 
     classes is as in dropped(): lines that aren't in it are classes of their own, without links. n_links is their sum.
+    Rows that repeat id and text are one document and get the same row each; no rows: no rows; other columns aren't read.
     """
     d = docs.select(*doc_key(id_col, text_col), col(id_col).alias("doc_id"), F.coalesce(F.size(F.split(col(text_col), "\n", -1)), F.lit(0)).alias("n"), col(text_col).isNull().alias("none"))
     d = d.join(dropped(docs, id_col, text_col, told=True, **how), ["k1", "k2"], "left")
@@ -235,7 +324,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b = doc_key(id_col, text_col)
     lost = dropped(docs, id_col, text_col, **how).where(F.size("dropped") > 0).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("dropped").alias(gone))
     d = docs.withColumns({k1: a, k2: b}).join(lost, [k1, k2], "left")
-    text = F.array_join(F.filter(F.split(col(text_col), "\n", -1), lambda x, i: ~F.array_contains(col(gone), i)), "\n")
+    text = F.pandas_udf(without, "string")(F.when(col(gone).isNotNull(), col(text_col)), col(gone))
     new = d.withColumn(text_col, F.when(col(gone).isNull(), col(text_col)).otherwise(text))
     new = new.where(col(gone).isNull() | col(text_col).rlike(SEEN))
     if chars_col and chars_col in docs.columns:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
+#: counters of the sketch that orders grams by how often they come; members up to which a bucket's pairs are all tested, rather than told apart by grams
+CELLS, SMALL = 1 << 21, 12
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label): for each end of a link (a, b) the smallest id that it is connected to.
@@ -32,36 +37,110 @@ def components(links: DataFrame) -> DataFrame:
         e = written(small, "stars")
 
 
-def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) of the members (bucket, id): links (a, b) verified so far, and components().
+def several(members: DataFrame) -> DataFrame:
+    """The members (bucket, id) of buckets that hold several ids, each once."""
+    some = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    return members.join(some, "bucket", "left_semi").distinct()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def by_rare_grams(texts: DataFrame, grams_of: Callable[[str], np.ndarray], kept: Callable[[str, int], int], cells: int = CELLS) -> DataFrame:
+    """(bucket, id) of the texts (id, text, buckets): within each of its buckets a text posts the first kept(text, number) of its grams, the rarest there first; only what several texts post.
 
-    First each bucket's smallest id is held against the bucket. A bucket that is one component then is done: further
-    links in it join nothing new. In the others 2, 4, 8, ... members, drawn by hash, are held against all members of
-    other components, until the bucket is one component or each member has been drawn: then every pair in it has been
-    verified or joined otherwise. So classes are exactly those of all pairs that share a bucket, while buckets of
-    copies, however large, cost one pair a member.
+    That is a prefix filter: with any order of the grams that is the same for all texts of a bucket, two that must share
+    more grams than either leaves out share one of those posted. Rarity is read off a sketch of counts of (bucket, gram),
+    so what thousands of unlike texts have in common, such as a template or the very segment that made the bucket, is
+    posted last and brings nobody together.
     """
-    star = members.groupBy("bucket").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = written(members.join(star, "bucket").select("bucket", "id", "rep", "n"), "members")
-    pairs = open_.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(verify(pairs), "verified")
+
+    def posts(text: str, buckets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """A row a bucket: the keys of its (bucket, gram), and their cells."""
+        g = grams_of(text)
+        k = mixed(g[None] ^ mixed(np.array(buckets, dtype=np.int64).view(np.uint64))[:, None])
+        return k, (k % np.uint64(cells)).astype(np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, dtype=np.int32)
+        for b in batches:
+            for t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                np.add.at(n, posts(t, at)[1].ravel(), 1)
+        i = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(n[i], pa.int64())], names=["cell", "n"])
+
+    got = texts.select("text", "buckets").mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(cells, dtype=np.int32)
+    n[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), (1 << 31) - 1)
+    held = texts.sparkSession.sparkContext.broadcast(n)
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = held.value
+        for b in batches:
+            ids, out = [], []
+            for i, t, at in zip(*(c.to_pylist() for c in b.columns)):
+                k, cell = posts(t, at)
+                if k.shape[1]:
+                    first = np.lexsort((k, n[cell]), axis=1)[:, : kept(t, k.shape[1])]
+                    k = np.unique(np.take_along_axis(k, first, axis=1))
+                    out.append(k.view(np.int64))
+                    ids.append(np.full(len(k), i, dtype=np.int64))
+            none = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [none])), pa.array(np.concatenate(ids or [none]))], names=["bucket", "id"])
+
+    return several(written(texts.select("id", "text", "buckets").mapInArrow(posted, "bucket long, id long"), "rare"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, label, n) of the buckets whose members aren't all connected; n: their number. Written."""
+    tagged = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
+    return written(tagged.join(mixed, "bucket"), "open")
+
+
+def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, labels, buckets) of the members (bucket, id): links (a, b) verified so far, components(), and the buckets that hold every pair that may be linked.
+
+    First each member is held against one other, the smallest id that it shares a bucket with: one pair a member, also
+    among a third of all rows. A bucket that is one component then is done: further links in it join nothing new. The
+    members of the others, unless they are SMALL, are put into the buckets that refine(members) says, if it is given: each
+    two members of a bucket that are linked must share one of these. Buckets that are still open have 1, 2, 4, ... of their members, drawn by hash, held
+    against all members of other components, no pair twice, until the bucket is one component or each member has been
+    drawn. So classes are exactly those of all pairs that share a bucket. Work is quadratic only in a refined bucket
+    whose members are mutually unlike.
+    """
+    all_ = members
+    rep = all_.groupBy("bucket").agg(F.min("id").alias("rep"))
+    tested = all_.join(rep, "bucket").groupBy("id").agg(F.min("rep").alias("rep")).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    tested = written(tested, "pairs")
+    links = written(verify(tested), "verified")
     labels = written(components(links), "labels")
-    open_, k = open_.where("n > 2").select("bucket", "id", "n"), 1
-    while True:
-        tagged = open_.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        tagged = written(tagged.join(mixed, "bucket", "left_semi"), "open")
-        if tagged.isEmpty():
-            return links, labels
+    tagged = _mixed(all_, labels)
+    if tagged.isEmpty():
+        return links, labels, all_
+    if refine is not None:
+        large = tagged.where(F.col("n") > SMALL)
+        fine = written(refine(large.select("bucket", "id")), "refined")
+        all_ = all_.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(fine)
+        tagged = tagged.where(F.col("n") <= SMALL).unionByName(_mixed(fine, labels))
+    k = 0
+    while not tagged.isEmpty():
         draw = (F.xxhash64("bucket", "id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) * F.col("n")
-        reps = tagged.where((draw >= 2**k - 2) & (draw < 2 ** (k + 1) - 2)).select("bucket", F.col("id").alias("rep"), F.col("label").alias("own"))
+        reps = tagged.where((draw >= 2**k - 1) & (draw < 2 ** (k + 1) - 1)).select("bucket", F.col("id").alias("rep"), F.col("label").alias("own"))
         pairs = tagged.join(reps, "bucket").where("label <> own").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(verify(pairs), "verified")
         if not more.isEmpty():
-            links = written(links.unionByName(more).distinct(), "links")
+            links = links.unionByName(more)
             labels = written(components(links), "labels")
-        open_ = tagged.where(F.col("n") > 2 ** (k + 1) - 2).select("bucket", "id", "n")
+        tested = tested.unionByName(pairs)
+        tagged = _mixed(tagged.where(F.col("n") > 2 ** (k + 1) - 1).select("bucket", "id"), labels)
         k += 1
+    return links, labels, all_
 
 
 def every_link(members: DataFrame, labels: DataFrame, verify: Callable[[DataFrame], DataFrame], block: int = 512) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import col, fresh, spread, table, written
-from .links import resolve
+from .links import by_rare_grams, resolve, several
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.99
 CACHE = 500_000
@@ -53,18 +53,25 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def signature(text: str, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray | None:
-    """The MinHash of the text's n-grams under a * x + b, high bits; None without words."""
+def gram_hashes(text: str, n: int) -> np.ndarray:
+    """The text's n-gram set as sorted 64-bit hashes of the grams."""
     w = words(text)
     if not w:
-        return None
+        return np.zeros(0, dtype=np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, w), dtype=np.uint64, count=len(w))
     k = min(n, len(h))
-    g = np.zeros(len(h) - k + 1, dtype=np.uint64)
+    g = np.full(len(h) - k + 1, len(h) if len(h) < n else n, dtype=np.uint64)  # short texts' one gram isn't another's
     for i in range(k):
         g = (g ^ h[i : len(h) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
         g ^= g >> np.uint64(29)
-    g = np.unique(g)
+    return np.unique(g)
+
+
+def signature(text: str, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray | None:
+    """The MinHash of the text's n-grams under a * x + b; None without words."""
+    g = gram_hashes(text, n)
+    if not len(g):
+        return None
     out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(g), 2048):
         out = np.minimum(out, (g[i : i + 2048, None] * a + b).min(axis=0))
@@ -101,14 +108,14 @@ def _signatures(bands: int, rows: int, n: int):
 
 def _verify(threshold: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
+        last, own = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
             out: list[list[int]] = [[], []]
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != last:
-                    last, own = a, grams(words(ta), n)
-                other = grams(words(tb), n)
-                both = len(own & other)
+                    last, own = a, gram_hashes(ta, n)
+                other = gram_hashes(tb, n)
+                both = len(np.intersect1d(own, other, assume_unique=True))
                 if both and both >= threshold * (len(own) + len(other) - both):
                     out[0].append(a)
                     out[1].append(b)
@@ -122,12 +129,12 @@ def _counts(threshold: float, n: int):
 
     def count(rows: list[tuple]) -> tuple[list[int], list[int]]:
         m, cross = len(rows), rows[0][1] != rows[0][2]
-        numbers: dict[tuple[str, ...], int] = {}
-        sets = [np.fromiter((numbers.setdefault(g, len(numbers)) for g in grams(words(t), n)), dtype=np.int64) for *_, t in rows]
+        sets = [gram_hashes(t, n) for *_, t in rows]
         size, block = np.array([len(x) for x in sets]), np.array([r[3] for r in rows])
-        gram = np.concatenate(sets)
+        known, gram = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(gram, np.cumsum(size)[:-1])
         order = np.argsort(gram, kind="stable")
-        holders, at = np.repeat(np.arange(m), size)[order], np.searchsorted(gram[order], np.arange(len(numbers) + 1))
+        holders, at = np.repeat(np.arange(m), size)[order], np.searchsorted(gram[order], np.arange(len(known) + 1))
         out = []
         for r, x in enumerate(sets):
             k = at[x + 1] - at[x]
@@ -183,16 +190,18 @@ def classes(docs: DataFrame, text_col: str = "text", n: int = N, threshold: floa
     """
     bands, rows = bands_for(threshold, recall)
     d = docs.where(col(text_col).isNotNull()).select(text_id(text_col).alias("id"), col(text_col).alias("text"))
-    signed = written(d.mapInArrow(_signatures(bands, rows, n), "bucket long, id long"), "bands")
-    several = signed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = written(signed.join(several, "bucket", "left_semi").distinct(), "buckets")
+    members = written(several(written(d.mapInArrow(_signatures(bands, rows, n), "bucket long, id long"), "bands")), "buckets")
     texts = written(d.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, n), "a long, b long")
 
-    return resolve(members, verify)[1], texts
+    def refine(open_: DataFrame) -> DataFrame:  # by the rarest of all these texts' grams, whatever bucket they met in
+        own = written(texts.join(open_.select("id").distinct(), "id", "left_semi").withColumn("buckets", F.array(F.lit(0).cast("long"))), "unlike")
+        return by_rare_grams(own, lambda t: gram_hashes(t, n), lambda _, k: k - math.ceil(threshold * k - 1e-9) + 1)
+
+    return resolve(members, verify, refine)[1], texts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, **how) -> DataFrame:
