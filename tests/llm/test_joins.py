@@ -74,7 +74,7 @@ def test_resolve_finds_every_class_in_big_mixed_buckets(spark):
     rows = [(1, i) for i in range(120)] + [(2, i) for i in range(100, 300, 7)] + [(3, 999)]
     def verify(pairs):
         return pairs.where(F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10))
-    found, labels = links.resolve(spark.createDataFrame(rows, "bucket long, id long"), verify)
+    found, labels, _ = links.resolve(spark.createDataFrame(rows, "bucket long, id long"), verify)
     s = Sets()
     for bucket in (1, 2):
         ids = [i for b, i in rows if b == bucket]
@@ -142,6 +142,34 @@ def test_every_link_counts(spark, block):
     assert want[three] == 2 and max(want.values()) > 20
 
 
+def test_a_passage_that_many_documents_share(spark):
+    """Documents that share a third of their words meet in buckets of the passage; only those that are near are linked."""
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [r.choice(words) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        own = [r.choice(words) for _ in range(70)]
+        for _ in range(r.choice([1, 1, 1, 3])):
+            t = list(own)
+            for _ in range(r.randint(0, 9)):
+                t[r.randrange(len(t))] = r.choice(words)
+            texts.append(" ".join([*t[:35], *passage, *t[35:]]))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    g = [neardup.grams(t.split()) for t in texts]
+    s, n = Sets(), [0] * len(g)
+    for i, a in enumerate(g):
+        for j, b in enumerate(g[:i]):
+            if len(a & b) >= neardup.THRESHOLD * len(a | b):
+                n[i], n[j] = n[i] + 1, n[j] + 1
+            if len(a & b) >= neardup.THRESHOLD * len(a | b):
+                s.join(i, j)
+    got = {x["doc_id"]: x for x in neardup.near_duplicates(df).collect()}
+    assert {i: x["class_id"] for i, x in got.items()} == {i: s.find(i) for i in range(len(g))} and 20 < len({s.find(i) for i in range(len(g))}) < len(g)
+    assert [got[i]["n_links"] for i in range(len(g))] == n
+
+
 def test_bands():
     b, r = neardup.bands_for(0.5, 0.99)
     assert 1 - (1 - 0.5**r) ** b >= 0.99 and b * r <= 128
@@ -159,26 +187,35 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(empty_docs(spark)).count() == 0 and neardup.deduplicate(empty_docs(spark)).count() == 0
 
 
-def lines_by_brute_force(data, tau=lines.TAU):
-    every = [(i, no, x) for i, t, *_ in sorted(data) if t for no, x in enumerate(t.split("\n")) if len(x) >= lines.SHORTEST]
+def linked(a, b):
+    """By the stated rule: 2 edits, 1 if the shorter has fewer than 20 code points, none if fewer than 10."""
+    k = min(2, min(len(a), len(b)) // 10)
+    return abs(len(a) - len(b)) <= k and lev(a, b) <= k
+
+
+def lines_by_brute_force(data):
+    every = [(i, no, x) for i, t, *_ in sorted(data) if t for no, x in enumerate(t.split("\n")) if x.strip()]
     s, texts = Sets(), sorted({x for *_, x in every})
-    near = [x for x in texts if len(x) >= lines.SHORTEST_NEAR]
-    linked = set()
-    for i, a in enumerate(near):
-        for b in near[:i]:
-            if abs(len(a) - len(b)) <= tau and lev(a, b) <= tau:
+    near = set()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if linked(a, b):
                 s.join(a, b)
-                linked |= {a, b}
+                near |= {a, b}
     first, gone, n_near = {}, {}, {}
     for i, no, x in every:
         if first.setdefault(s.find(x), (i, no)) != (i, no):
             gone.setdefault(i, []).append(no)
-        n_near[i] = n_near.get(i, 0) + (x in linked)
+        n_near[i] = n_near.get(i, 0) + (x in near)
     return gone, n_near
 
 
 def test_lines_by_brute_force(spark):
-    data = [d for d in corpus(random.Random(4)) if d[0] % 2]
+    r = random.Random(4)
+    data = [d for d in corpus(r) if d[0] % 2]
+    short = ["".join(r.choice("abcdef") for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 10, 11, 14, 15, 18, 19, 20, 21, 25, 30)]
+    data += [(2000 + i, "\n".join(edited(r, r.choice(short), r.randint(0, 3)) for _ in range(8)), "en", "s", 1) for i in range(40)]
+    data = [(*d[:4], len(d[1])) for d in data]
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
     gone, n_near = lines_by_brute_force(data)
     got = {r["doc_id"]: r for r in lines.report(df).collect()}
@@ -200,11 +237,46 @@ def test_lines_of_odd_rows(spark):
 
 
 def test_short_lines(spark):
-    """Short lines go if they are exact copies, those of 20 code points on if they are near; blank ones stay."""
-    texts = ["yes\n\nHe said so, at 12 o'clock.\nno", "yes\n \nHe said so, at 11 o'clock.\nyet", "\n\u3000\nno\nno\n", "\u3000"]
+    """Lines below 10 code points go if they are exact copies, of 10 to 19 if they are one edit apart, of 20 on two; blank ones stay."""
+    texts = ["yes\n\nHe said so, at 12 o'clock.\nno", "yes\n \nHe said so, at 11 o'clock.\nyet", "\n\u3000\nno\nno\n", "\u3000", "fifteen letters", "fifteen lettersx\nfifteen lettexx"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    assert {r["doc_id"]: r["dropped"] for r in lines.report(df).collect()} == {0: [], 1: [0, 2], 2: [2, 3], 3: []}
-    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {0: texts[0], 1: " \nyet", 3: texts[3]}
+    assert {r["doc_id"]: r["dropped"] for r in lines.report(df).collect()} == {0: [], 1: [0, 2], 2: [2, 3], 3: [], 4: [], 5: [0]}
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == {0: texts[0], 1: " \nyet", 3: texts[3], 4: texts[4], 5: "fifteen lettexx"}
+
+
+def test_unlike_lines_of_one_template(spark):
+    """Lines that share all but a number share every bucket of the template; rare substrings bring the linked ones together, and hot classes are broadcast."""
+    r = random.Random(12)
+    numbers = ["".join(r.choice("0123456789") for _ in range(12)) for _ in range(150)]
+    numbers += [edited(r, n, r.randint(0, 3), "0123456789") for n in numbers[:80]]
+    data = [(i, f"your order number is {n}, and we thank you for it\nthe same line in every document\n{n}", "en", "s", 1) for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    gone, n_near = lines_by_brute_force(data)
+    assert 50 < sum(n > 0 for n in n_near.values()) < 230
+    got = {x["doc_id"]: x for x in lines.report(df).collect()}
+    assert {i: x["dropped"] for i, x in got.items()} == {i: gone.get(i, []) for i, *_ in data} and {i: x["n_near"] for i, x in got.items()} == n_near
+    few = {x["doc_id"]: x for x in lines.report(df, hot=10**9).collect()}
+    assert few == got
+
+
+def test_rare_grams_bring_all_pairs_together(spark):
+    """Each two texts that are linked post a gram in common, however often other grams come."""
+    r = random.Random(2)
+    base = ["the same beginning of a line and then " + "".join(r.choice("abcdefghij") for _ in range(10)) for _ in range(60)]
+    texts = sorted({*base, *(edited(r, r.choice(base), 2, "abcdefghij") for _ in range(120))})
+    got = links.by_rare_grams(spark.createDataFrame([(i, t, [7, i % 2]) for i, t in enumerate(texts)], "id long, text string, buckets array<long>"), lines.grams_of, lambda t, _: 9).collect()
+    post = {}
+    for x in got:
+        post.setdefault(x["id"], set()).add(x["bucket"])
+    pairs = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if linked(a, b)]
+    assert len(pairs) > 100 and all(post.get(i, set()) & post.get(j, set()) for i, j in pairs)
+    assert links.by_rare_grams(spark.createDataFrame([], "id long, text string, buckets array<long>"), lines.grams_of, lambda t, _: 9).count() == 0
+
+
+def test_long_documents_of_many_lines(spark):
+    """Bookkeeping is linear in the lines of a document."""
+    docs = spark.createDataFrame([(0, "\n".join(f"line {i}" for i in range(40_000))), (1, "\n".join(f"line {i}" for i in range(39_999, -1, -1)) + "\nlast")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] == "last" for r in lines.deduplicate(docs).collect()} == {0: False, 1: True}
 
 
 def test_line_classes_and_links(spark):
@@ -218,7 +290,7 @@ def test_line_classes_and_links(spark):
     texts, s, n = sorted({x for *_, x in every}), Sets(), {}
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if min(len(a), len(b)) >= lines.SHORTEST_NEAR and abs(len(a) - len(b)) <= lines.TAU and lev(a, b) <= lines.TAU:
+            if linked(a, b):
                 s.join(a, b)
                 n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
     places = {}
@@ -239,7 +311,7 @@ def test_every_link_of_a_bucket(spark, block):
     def verify(pairs):
         return pairs.where(F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10))
     members = spark.createDataFrame(rows, "bucket long, id long")
-    _, labels = links.resolve(members, verify)
+    _, labels, _ = links.resolve(members, verify)
     got = [(x["a"], x["b"]) for x in links.every_link(members, labels, verify, block).collect()]
     assert sorted(got) == [(a, b) for a in range(50) for b in range(a + 1, 50) if a // 10 == b // 10]
 
