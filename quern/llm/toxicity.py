@@ -1,12 +1,16 @@
-"""Toxicity: a subsequence-kernel SVM over Nystroem landmarks, so gapped and padded insults still match.
+"""Toxicity: a subsequence-kernel SVM over Nystroem landmarks, trained on labelled sentences, so gapped and padded insults still match.
 
 The kernel compares two units (words as typed, or runs of lone letters) by their shared gapped subsequences of 3 and 4
 symbols, each weighing DECAY to the power of the span it takes, up to SPAN symbols; it is divided by the norms that
-strings of those lengths with distinct subsequences have. A unit's score is the SVM's on Nystroem features over
-landmark strings. As that is linear in the kernel's values, it collapses to one weight a subsequence, which is what
-workers evaluate: exactly the SVM's value, at the cost of a table look-up a subsequence. A word may look like an
-insult by chance, so a document is judged, by a logistic fit, on the values of its TOP worst units, on how many are
-above 0, and on its length.
+strings of those lengths with distinct subsequences have. A sentence's image is that of its worst unit, its Nystroem
+features the kernel values with landmark strings. As the SVM is linear in these, it collapses to one weight a
+subsequence, which is what workers evaluate: exactly the SVM's value, at the cost of a table look-up a subsequence.
+
+Labels are of documents, and most sentences of a toxic one are clean. Toxic examples are therefore its sentences that
+hold a string which comes far more often in sentences of toxic documents, and such sentences with a letter put into that
+word; clean examples are sentences of clean documents, first with a unit drawn by hash for their worst, then, in rounds,
+with the unit that the SVM takes for the worst. A document is judged, by a logistic fit, on the values of its TOP worst
+sentences, on how many are above 0, and on the log of their number: among many sentences one looks toxic by chance.
 """
 
 from __future__ import annotations
@@ -21,40 +25,42 @@ from itertools import combinations, pairwise
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bucket, col, fresh, spread, table, written
 
 FOLDS, HELD = 5, 0
 DECAY, SPAN = 0.75, 6
-#: Bounds of what is learned from: labelled documents a class, and strings that reach the driver.
+#: Bounds of what is learned from: labelled documents a class, and of them toxic and clean examples and landmarks that reach the driver.
 DOCS, CANDIDATES, NEGATIVES, LANDMARKS = 3000, 400, 6000, 160
-#: log-likelihood ratio of a string's share of toxic sentences above which it counts as an insult
-EVIDENCE = 28.0
-MINING = 2
+#: log-likelihood ratio of a string's share of toxic sentences, and how often the base rate its share must be, to mark a sentence; where no string reaches that, the first MARKS do
+EVIDENCE, TIMES, MARKS = 28.0, 8, 40
+#: rounds of training; words of a sentence at most, longer ones count as several
+ROUNDS, WIDEST = 3, 48
 CACHE = 120_000
 SAMPLE_PARTS = 16
 BASE = 32
-#: units of a document that count, and the value below which a unit counts as no insult at all
+#: sentences of a document that count, and the value below which one counts as clean
 TOP, FLOOR = 4, -0.6
 #: a clean document taken for a toxic one costs so many times the other error
-CLEAN_COST = 2.0
+CLEAN_COST = 3.0
 OFFSETS = [(0, *c) for n in (2, 3) for c in combinations(range(1, SPAN), n)]
 PUNCTUATION = ".,;:?\"'()"
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 
 def _symbol(c: str) -> int:
+    """1 to 26: a Latin letter, marked or not; 27 to 30: digits and what isn't a letter; letters of other scripts: by their code points over 1 to 26, so that words of these can be told apart as well."""
     if "a" <= c <= "z":
         return ord(c) - 96
     base = unicodedata.normalize("NFD", c)[0].lower()
-    return ord(base) - 96 if "a" <= base <= "z" else 27 + ord(c) % 4
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    return 1 + ord(base) % 26 if base.isalpha() else 27 + ord(c) % 4
 
 
-SYMBOLS = (27 + np.arange(0x110000) % 4).astype(np.uint8)
-for _i in (*range(0x250), *range(0x1E00, 0x1F00)):  # Latin letters, marked or not, are the letter
-    SYMBOLS[_i] = _symbol(chr(_i))
+SYMBOLS = np.fromiter((_symbol(chr(i)) for i in range(0x3000)), dtype=np.uint8, count=0x3000)
+SYMBOLS = np.concatenate([SYMBOLS, (1 + np.arange(0x3000, 0x110000) % 26).astype(np.uint8)])
 
 
 def encode(units: list[str]) -> np.ndarray:
@@ -124,7 +130,7 @@ def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def train(positive: list[str], negative: list[str], landmarks: list[str], cost: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Squared-hinge linear SVM on Nystroem features by Newton steps: (subsequences, their weights, bias)."""
+    """Squared-hinge linear SVM on the Nystroem features of sentences, given by their images, by Newton steps: (subsequences, their weights, bias)."""
     k_mm = kernel(landmarks, landmarks)
     val, vec = np.linalg.eigh((k_mm + k_mm.T) / 2)
     good = val > 1e-6 * val.max()
@@ -161,7 +167,7 @@ class Scorer:
         self.bias, self.known = bias, {}
 
     def units(self, units: list[str]) -> np.ndarray:
-        """The SVM's values."""
+        """The SVM's values of sentences of one unit each; a sentence's is that of its worst."""
         out = np.empty(len(units))
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
         at = 0
@@ -179,13 +185,11 @@ class Scorer:
             at += len(part)
         return out
 
-    def documents(self, texts: list[str | None]) -> np.ndarray:
-        """A row a text: the values of its TOP worst units, worst first, the number above 0, and the log of the number of units."""
+    def words(self, words: set[str]) -> dict[str, float]:
+        """The values of all words kept so far, these among them: of each its worst unit's; words without one: minus infinity."""
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        tokens = [tokens_of(t) for t in texts]
-        new = list(set().union(*tokens) - known.keys()) if tokens else []
+        new = list(words - self.known.keys())
         if new:
             parts, owner = [], []
             for i, t in enumerate(new):
@@ -195,12 +199,19 @@ class Scorer:
             worst = np.full(len(new), -np.inf)
             if parts:
                 np.maximum.at(worst, owner, self.units(parts))
-            known.update(zip(new, worst.tolist()))
+            self.known.update(zip(new, worst.tolist()))
+        return self.known
+
+    def documents(self, texts: list[str | None]) -> np.ndarray:
+        """A row a text: the values of its TOP worst sentences, worst first, the number above 0, and the log of the number of different words; sentences of the same worst word count once."""
+        said = [sentences(t) for t in texts]
+        own = [{w for s in ss for w in s} for ss in said]
+        known = self.words(set().union(*own))
         out = np.full((len(texts), TOP + 2), FLOOR)
-        for row, t in zip(out, tokens):
-            worst = sorted((v for v in map(known.__getitem__, t) if v > FLOOR), reverse=True)
+        for row, ss, words in zip(out, said, own):
+            worst = sorted((known[w] for w in {max(s, key=known.__getitem__) for s in ss if s} if known[w] > FLOOR), reverse=True)
             row[: min(TOP, len(worst))] = worst[:TOP]
-            row[TOP], row[TOP + 1] = min(sum(v > 0 for v in worst), 2 * TOP), math.log1p(len(t))
+            row[TOP], row[TOP + 1] = min(sum(v > 0 for v in worst), 2 * TOP), math.log1p(len(words))
         return out
 
 
@@ -220,15 +231,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def tokens_of(text: str | None) -> set[str]:
-    """Words between white space in lower case, and runs of three or more lone letters, joined."""
-    words = (text or "").lower().split()
-    out = set(words)
-    lone = [i for i, w in enumerate(words) if len(w) == 1]
-    if len(lone) > 2:
-        for i, j in pairwise([k for k in range(len(lone) + 1) if not 0 < k < len(lone) or lone[k] != lone[k - 1] + 1]):
-            if j - i > 2:
-                out.add("".join(words[k] for k in lone[i:j]))
+END = re.compile(r"(?<=\w\w)[.!?]+\s|\n")
+
+
+def sentences(text: str | None, widest: int = WIDEST) -> list[list[str]]:
+    """The words of each sentence in lower case, runs of three or more lone letters joined to one; sentences end at . ! ? behind a word of two letters, and at newlines."""
+    out = []
+    for s in END.split((text or "").lower()):
+        words = s.split()
+        lone = [i for i, w in enumerate(words) if len(w) < 4 and len(w.strip(PUNCTUATION)) == 1]
+        if len(lone) > 2:
+            for i, j in reversed(list(pairwise([k for k in range(len(lone) + 1) if not 0 < k < len(lone) or lone[k] != lone[k - 1] + 1]))):
+                if j - i > 2:
+                    words[lone[i] : lone[j - 1] + 1] = ["".join(w.strip(PUNCTUATION) for w in words[lone[i] : lone[j - 1] + 1])]
+        out += [words[i : i + widest] for i in range(0, len(words), widest)]
     return out
 
 
@@ -244,90 +260,127 @@ def units_of(token: str) -> list[str]:
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(string, kind, sentences in toxic documents, in others): words, and their first 4 to 6 letters."""
+    """(string, sentences of toxic documents that hold it, and of others): units, and their first 4 to 6 letters; the empty string: all sentences."""
     for pdf in batches:
         count: dict = {}
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            for s in re.split(r"[.!?\n]+", text):
-                seen = set()
-                for t in tokens_of(s):
-                    for u in units_of(t):
-                        seen.add((u, 1))
-                        seen.update((u[:n], 0) for n in (4, 5, 6) if n < len(u))
+            for s in sentences(text):
+                seen = {""}
+                for u in {u for t in s for u in units_of(t)}:
+                    seen.add(u)
+                    seen.update(u[:n] for n in (4, 5, 6) if n < len(u))
                 for k in seen:
                     count.setdefault(k, [0, 0])[1 - toxic] += 1
-                count.setdefault(("", 2), [0, 0])[1 - toxic] += 1
         if count:
-            yield pd.DataFrame([(k[0], k[1], v[0], v[1]) for k, v in count.items()], columns=["s", "kind", "a", "b"])
+            yield pd.DataFrame([(k, v[0], v[1]) for k, v in count.items()], columns=["s", "a", "b"])
+
+
+def _images(marks: dict[str, float]):
+    """(unit, toxic): of each sentence of a toxic document that holds a mark the unit with the most evidence; of each clean one a unit drawn by hash."""
+
+    def evidence(u: str) -> float:
+        return max(marks.get(x, 0.0) for x in (u, u[:4], u[:5], u[:6]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                for s in sentences(text):
+                    units = sorted({u for w in s for u in units_of(w)})
+                    if units and not toxic:
+                        out.append((min(units, key=lambda u: hashlib.md5(f"{len(units)} {u}".encode("utf-8", "surrogatepass")).digest()), 0))
+                    elif units and evidence(u := max(units, key=evidence)):
+                        out.append((u, 1))
+            yield pd.DataFrame(out, columns=["s", "toxic"]).astype({"toxic": int})
+
+    return run
+
+
+def _hard(model: dict, key: str):
+    """(unit, value) of the words above FLOOR in the sentences of clean documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scores = scorer(key, model)
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                said = sentences(text)
+                known = scores.words({w for s in said for w in s})
+                out += [(u, known[w]) for w in {w for s in said for w in s} if known[w] > FLOOR for u in units_of(w)]
+            yield pd.DataFrame(out, columns=["s", "v"]).astype({"v": float})
+
+    return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD, n_docs: int = DOCS, min_evidence: float = EVIDENCE) -> dict | None:
-    """The model, or None without labelled documents of both classes, or if no string marks the toxic ones.
+    """The model, or None without labelled documents of both classes that have a sentence.
 
-    At most n_docs labelled documents a class are read, first by a hash of their id; only their ids are broadcast.
-    Sentences take their document's label; a word or word start is taken as an insult if its share of toxic sentences
-    is far above the base rate. Insults, and insults with a letter put in or doubled, train against words of other
-    documents. Then the threshold is set on whole documents of the sample. A document labelled both ways is toxic.
+    At most n_docs labelled documents a class are read, first by a hash of their id; only their ids are broadcast. What
+    reaches the driver is bounded by CANDIDATES, NEGATIVES and LANDMARKS. A document labelled both ways is toxic. Null
+    labels, ids and texts, and labels of unknown documents, don't count; of rows that repeat an id one is read.
     """
-    lab = labels.where(col("toxic").isNotNull() & (bucket(col(id_col), folds) != held)).groupBy(col(id_col).alias("id")).agg(F.max(col("toxic")).alias("toxic"))
-    lab = lab.withColumn("k", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= n_docs)
-    lab = [(r["id"], int(r["toxic"])) for r in lab.collect()]
-    if len({t for _, t in lab}) < 2:
+    lab = labels.where(col("toxic").isNotNull() & (bucket(col(id_col), folds) != held)).groupBy(col(id_col).alias("id")).agg(F.max(col("toxic")).cast("int").alias("toxic"))
+    lab = written(lab, "labels")
+    taken = [(r["id"], r["toxic"]) for t in (0, 1) for r in lab.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n_docs).collect()]
+    if len({t for _, t in taken}) < 2:
         return None
     spark = docs.sparkSession
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
-    ids = F.broadcast(spark.createDataFrame(lab, f"id {kind}, toxic int"))
-    sample = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id").select("text", "toxic")
+    ids = F.broadcast(spark.createDataFrame(taken, f"id {kind}, toxic int"))  # 2 * n_docs rows
+    sample = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text")).join(ids, "id").dropDuplicates(["id"]).select("text", "toxic")
     sample = written(sample.repartition(SAMPLE_PARTS), "labelled")
-    counts = written(sample.mapInPandas(_strings, "s string, kind int, a long, b long").groupBy("s", "kind").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
-    total = counts.where("kind = 2").collect()
-    if not total or not total[0]["a"] or not total[0]["b"]:
+    counts = written(sample.mapInPandas(_strings, "s string, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+    total = counts.where("s = ''").first()
+    if total is None or not total["a"] or not total["b"]:
         return None
-    n_a, n_b = total[0]["a"], total[0]["b"]
+    n_a, n_b = total["a"], total["b"]
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), F.col("a") + F.col("b")
     g = 2 * (a * F.log(a * (n_a + n_b) / (n * n_a)) + F.when(b > 0, b * F.log(b * (n_a + n_b) / (n * n_b))).otherwise(0))
-    marked = counts.where((F.col("kind") < 2) & (a * n_b > 8 * b * n_a)).withColumn("g", g).where(F.col("g") >= min_evidence).orderBy(F.desc("g"), "s").limit(CANDIDATES).collect()
-    if not marked:
+    words = counts.where("s <> ''").withColumn("g", F.when(F.col("a") > 0, g).otherwise(0.0)).withColumn("marks", a * n_b > TIMES * b * n_a)
+    first = words.where("marks").orderBy(F.desc("g"), F.length("s").desc(), "s").limit(CANDIDATES).collect()
+    marks = {r["s"]: r["g"] for i, r in enumerate(first) if r["g"] >= min_evidence} or {r["s"]: r["g"] for r in first[:MARKS]}
+    if not marks:
         return None
-    starts = {r["s"] for r in marked if r["kind"] == 0}
-    whole = {r["s"] for r in marked if r["kind"] == 1}
-    starts = {s for s in starts if not any(w.startswith(s) and len(w) - len(s) <= 6 and w in whole for w in whole)}
-    starts = {s for s in starts if not any(s != t and s.startswith(t) for t in starts)}
-    seen = counts.where("kind = 1")
-    if starts:
-        began = seen.where(F.col("a") > 0).where(F.col("s").rlike("^(?:" + "|".join(map(re.escape, sorted(starts))) + ")")).orderBy(F.desc("a"), "s").limit(CANDIDATES).collect()
-    else:
-        began = []
-    insults = sorted(whole | {r["s"] for r in began if not r["b"]})
-    negative = {r["s"] for r in seen.where("b > 0").orderBy(F.xxhash64("s"), "s").limit(NEGATIVES).collect()}
-    negative |= {r["s"] for r in seen.where("b > 0").orderBy(F.desc("b"), "s").limit(NEGATIVES // 4).collect()}
-    negative = sorted(w for w in negative if w and w not in whole)
+    images = written(sample.mapInPandas(_images(marks), "s string, toxic int").groupBy("s").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "images")
+    insults = [r["s"] for r in images.where("toxic > 0").join(words.where("marks").select("s"), "s").orderBy(F.desc("toxic"), "s").limit(CANDIDATES).collect()]
+    if not insults:
+        return None
+    known = set(insults)
+    whole = [m for m in marks if m in known]
+    starts = [m for m in marks if m not in known and not any(w.startswith(m) and len(w) - len(m) <= 6 for w in whole)]
+    starts = [m for m in starts if not any(m != x and m.startswith(x) for x in starts)]
+    clean = images.where("clean > 0")
+    negative = {r["s"] for r in clean.orderBy(F.xxhash64("s"), "s").limit(NEGATIVES).collect()}
+    negative |= {r["s"] for r in clean.orderBy(F.desc("clean"), "s").limit(NEGATIVES // 4).collect()}
+    negative -= known
     if not negative:
         return None
-    positive = list(insults) + sorted(starts)
-    for u in sorted(whole | starts):
+    positive = [*insults, *starts]
+    for u in [*whole, *starts]:
         for i in range(1, len(u)):
             positive += [u[:i] + u[i] + u[i:], u[:i] + "xqjz"[i % 4] + u[i:]]
-    order = lambda u: hashlib.md5(u.encode()).digest()
-    marks = sorted(starts) + sorted(whole) + sorted(insults, key=order)
+    order = lambda u: hashlib.md5(u.encode("utf-8", "surrogatepass")).digest()
+    lead = [*starts, *whole, *sorted(insults, key=order)]
     hard: list[str] = []
-    for _ in range(MINING + 1):  # clean words that the model takes for insults join the negatives, and lend landmarks
-        other = sorted(negative, key=order)
-        landmarks = list(dict.fromkeys(marks[: LANDMARKS // 2] + hard[: LANDMARKS // 4] + other))[:LANDMARKS]
-        feats, weights, bias = train(positive, negative, landmarks)
+    for i in range(ROUNDS):  # what the SVM takes for toxic in clean sentences joins their images, and lends landmarks
+        landmarks = list(dict.fromkeys(lead[: LANDMARKS // 2] + hard[: LANDMARKS // 4] + sorted(negative, key=order)))[:LANDMARKS]
+        feats, weights, bias = train(positive, sorted(negative), landmarks)
         model = {"feats": feats, "weights": weights, "bias": bias}
-        hard = [r["s"] for r in features_of(seen.where("b > 0").select("s"), model, "s").where(F.col("units")[0] > FLOOR).orderBy(F.col("units")[0].desc(), "s").limit(NEGATIVES // 4).collect()]
-        hard = [w for w in hard if w not in whole]
-        if not set(hard) - set(negative):
-            break
-        negative = sorted(set(negative) | set(hard))
-    seen_docs = features_of(sample, model).select("toxic", "units").collect()
-    x, y = np.array([r["units"] for r in seen_docs]), np.array([float(r["toxic"]) for r in seen_docs])
-    if 0 < y.sum() < len(y):
-        model["logistic"] = logistic(x, y)
+        if i + 1 < ROUNDS:
+            found = sample.where("toxic = 0").mapInPandas(_hard(model, key_of(model)), "s string, v double").groupBy("s").agg(F.max("v").alias("v"))
+            hard = [r["s"] for r in found.orderBy(F.desc("v"), "s").limit(NEGATIVES // 4).collect() if r["s"] not in known]
+            if not set(hard) - negative:
+                break
+            negative |= set(hard)
+    seen = features_of(sample, model).select("toxic", "units").collect()
+    model["logistic"] = logistic(np.array([r["units"] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
     return model
 
 
+def key_of(model: dict) -> str:
+    return hashlib.md5(model["weights"].tobytes() + model["feats"].tobytes()).hexdigest()
+
+
 _SCORERS: dict = {}
 
 
@@ -339,8 +392,8 @@ def scorer(key: str, model: dict) -> Scorer:
 
 
 def features_of(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs and units, what Scorer.documents says of each text (under a free name if that is taken)."""
-    key = hashlib.md5(model["weights"].tobytes() + model["feats"].tobytes()).hexdigest()
+    """docs and units, the values of each text's worst sentences (under a free name if that is taken)."""
+    key = key_of(model)
 
     @F.pandas_udf("array<double>")
     def worst(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -359,10 +412,10 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
     """All rows and columns of docs, and score in [0, 1] and predicted (under free names if those are taken).
 
     Null texts and texts without a word are scored as ones without an insult. Without a model: 0. Long texts are
-    scored whole, repeated rows alike.
+    scored whole, repeated rows alike; no rows: no rows.
     """
     s, predicted = fresh(docs, "score", "predicted")
-    if model is None or "logistic" not in model:
+    if model is None:
         return docs.withColumn(s, F.lit(0.0)).withColumn(predicted, F.lit(0))
     out = features_of(docs, model, text_col)
     units, w = col(out.columns[-1]), [float(v) for v in model["logistic"]]
