@@ -36,9 +36,9 @@ class Aggregate:
         elif self.func in ("min", "max"):
             out = getattr(F, self.func)(c)
         elif self.func == "first":
-            out = F.min_by(c, F.when(c.isNotNull(), order))
+            out = F.min_by(c, F.when(c.isNotNull(), _within(order, c, t)))
         elif self.func == "last":
-            out = F.max_by(c, F.when(c.isNotNull(), order))
+            out = F.max_by(c, F.when(c.isNotNull(), _within(order, c, t)))
         elif self.func == "collect":
             pairs = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("v")))))
             out = F.transform(pairs, lambda x: x["v"])
@@ -47,6 +47,11 @@ class Aggregate:
         return out.alias(self.name)
 
 
+def _within(order: Column, c: Column, t: T.DataType) -> Column:
+    """The order, and where rows tie in it, that of the values; maps have none."""
+    return order if "map<" in t.simpleString() or "variant" in t.simpleString() else F.struct(order.alias("o"), c.alias("v"))
+
+
 def count() -> Aggregate:
     return Aggregate("count")
 

@@ -38,7 +38,7 @@ def op(v, o, x):
             return False
         if not x:
             return bool(v)
-        if is_operators(x):
+        if is_operators(x) and not set(x) & {"$and", "$or", "$not"}:
             return any(all(op(e, k, y) for k, y in x.items()) for e in v)
         return any(isinstance(e, dict) and matches(e, x) for e in v)
     if v is None or class_of(v) != class_of(x) or class_of(v) in ("list", "document", "other"):
