@@ -36,6 +36,7 @@ class Query:
     group_by: str | None = None
     aggs: tuple[Aggregate, ...] = ()
     embedder: Any = None
+    text_index: Any = None
 
     def sort(self, field: str, descending: bool = False) -> Query:
         """One key; a later call replaces it. Nulls come last, or first if descending; ties go by id, after a group by its key."""
@@ -102,6 +103,8 @@ class Query:
         return Ranked(self.df.limit(0).withColumn("score", F.lit(0.0)) if field not in self.df.columns else vector_search(self.filtered(), field, vector, limit, self.id_col, dim))
 
     def text_search(self, field: str, query: str, limit: int | None = 10, analyzer: str = "english") -> Ranked:
+        if self.text_index is not None:
+            return Ranked(self.text_index.search(self.df, query, limit, self.id_col, self.predicate() if self.where else None, analyzer))
         return Ranked(text_search(self.df, field, query, limit, self.id_col, self.predicate() if self.where else None, analyzer))
 
     def hybrid_search(self, text_field: str, vector_field: str, text: str, vector: list[float] | None = None, limit: int | None = 10, analyzer: str = "english") -> Ranked:
@@ -109,10 +112,10 @@ class Query:
         if vector is None:
             if self.embedder is None:
                 raise ValueError("a vector is needed, as no embedder is configured")
-            vector_field, vector = self.embedder.target_of(vector_field), self.embedder.embed_query(vector_field, text)
+            vector_field, vector = self.embedder.target_of(vector_field), self.embedder.embed_query(vector_field, text) if vector_field else []
         elif self.embedder is not None:
             vector_field = self.embedder.target_of(vector_field)
-        return Ranked(hybrid_search(self.df, text_field, vector_field, text, vector, limit, self.id_col, self.predicate() if self.where else None, analyzer))
+        return Ranked(hybrid_search(self.df, text_field, vector_field, text, vector, limit, self.id_col, self.predicate() if self.where else None, analyzer, self.text_index))
 
     def semantic(self, source: str, text: str, limit: int | None = 10) -> Ranked:
         """Searches the vectors embedded from a source field for a text."""
@@ -137,10 +140,10 @@ class Ranked:
         return next(iter(Ranked(self.df.limit(1)).to_list()), None)
 
 
-def find(df: DataFrame, where: dict | None = None, id_col: str = "_id", order_col: str | None = None) -> Query:
-    """A query over any frame; a wrong filter raises at once."""
+def find(df: DataFrame, where: dict | None = None, id_col: str = "_id", order_col: str | None = None, text_index: Any = None) -> Query:
+    """A query over any frame; a wrong filter raises at once. text_index: a TextIndex of the field that text searches name."""
     compile_filter(where, df.schema)
-    return Query(df, where, id_col, order_col)
+    return Query(df, where, id_col, order_col, text_index=text_index)
 
 
 def find_ex(df: DataFrame, where: dict | None, options: dict, id_col: str = "_id") -> Query:
