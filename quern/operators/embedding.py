@@ -89,10 +89,11 @@ def embed_column(df: DataFrame, source: str, config: EmbedConfig) -> DataFrame:
                     out[there[i]] = finalise(v, config)
             yield pd.Series(out, dtype="object")
 
-    v = run(F.col(source))
-    if config.precision != "f32":
-        v = F.when(v.isNull(), F.lit(None)).otherwise(F.slice(dequantize(quantize(v, config.precision), config.precision), F.lit(1), F.size(v)))
-    return df.withColumn(config.target, v)
+    out = df.withColumn(config.target, run(F.col(source)))
+    if config.precision == "f32":
+        return out
+    v = F.col(config.target)  # a column by now: higher-order functions take no Python function
+    return out.withColumn(config.target, F.when(v.isNotNull(), F.slice(dequantize(quantize(v, config.precision), config.precision), F.lit(1), F.size(v))))
 
 
 class Embedder:
