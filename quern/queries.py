@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from .functions.quantize import dequantize, hamming_cosine, quantize
 from .operators.aggregates import collect, count, first, last, max, mean, min, sum  # noqa: A004
+from .operators.embedding import EmbedConfig, embed_column
+from .operators.text_index import TextIndex
 from .operators.vector import cosine
 from .plans.query import Query, find, find_ex
 from .sources import bson, files
 from .sources.shared import shared_folder
-from .sources.store import CHANGED, GONE, LIVE, changed, replay
+from .sources.store import CHANGED, GONE, LIVE, Collection, changed, replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,7 +118,7 @@ query("exists_q", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1000
 # groups
 _LINE = lambda s, d: table(s, d, "lineitem").withColumn("k", F.col("l_orderkey") * 8 + F.col("l_linenumber")).withColumn("price", F.col("l_extendedprice").cast("decimal(18,4)"))
 for _n, _a, _s in [("group_count", count(), "count(*) AS count"), ("group_sum", sum("l_quantity"), "sum(l_quantity) AS sum_l_quantity"), ("group_mean", mean("l_quantity"), "avg(l_quantity) AS mean_l_quantity"), ("group_min", min("l_shipdate"), "min(l_shipdate) AS min_l_shipdate"), ("group_max", max("l_extendedprice"), "max(l_extendedprice) AS max_l_extendedprice"),
-                   ("group_first", first("l_shipdate"), "arg_min(l_shipdate, l_orderkey * 8 + l_linenumber) AS first_l_shipdate"), ("group_last", last("l_shipdate"), "arg_max(l_shipdate, l_orderkey * 8 + l_linenumber) AS last_l_shipdate")]:
+                   ("group_first", first("l_shipdate"), "min({'k': l_orderkey * 8 + l_linenumber, 'v': l_shipdate}).v AS first_l_shipdate"), ("group_last", last("l_shipdate"), "max({'k': l_orderkey * 8 + l_linenumber, 'v': l_shipdate}).v AS last_l_shipdate")]:
     query(_n, f"SELECT l_returnflag, {_s} FROM lineitem GROUP BY l_returnflag")(lambda s, d, a=_a: find(_LINE(s, d), {}, "k").group("l_returnflag").agg(a).to_dataframe())
 query("group_collect", "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS collect_o_orderkey FROM orders GROUP BY o_custkey")(lambda s, d: find(table(s, d, "orders"), {}, "o_orderkey").group("o_custkey").agg(collect("o_orderkey")).to_dataframe().withColumn("collect_o_orderkey", F.array_join("collect_o_orderkey", ",")))
 query("sum_of_no_values_is_zero", f"SELECT kind, coalesce(sum(CASE WHEN value < -1 THEN value END), 0.0) AS sum_none FROM {EVENTS} GROUP BY kind")(lambda s, d: find(events(s, d).withColumn("none", F.when(F.col("value") < -1, F.col("value"))), {}, "event_id").group("kind").agg(sum("none")).to_dataframe())
@@ -159,8 +161,20 @@ def bm25_sql(terms: list[tuple[list[str], int]], columns: str = "doc_id, lang")
     return f"SELECT {columns}, {score} AS score FROM (SELECT doc_id, lang, len(toks) AS dl, {tf} FROM {_TOK}) c, (SELECT count(*) FILTER (dl > 0)::DOUBLE AS n, (sum(dl) / count(*) FILTER (dl > 0))::DOUBLE AS avgdl, {stats} FROM (SELECT len(toks) AS dl, {tf} FROM {_TOK})) s WHERE " + "(" + " OR ".join(f"tf{i} > 0" for i in range(len(terms))) + ")"
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of documents' texts, built at first use in a session and kept in the shared folder."""
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, os.stat(path).st_mtime_ns if os.path.exists(path) else 0)
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(table(spark, sf_dir, "documents"), "text", "doc_id", os.path.join(shared_folder(spark, "index"), "text"))
+    return _INDEXES[key]
+
+
 def text(name: str, said: str, terms: list[tuple[list[str], int]], where: dict | None = None, sql_where: str = "true", analyzer: str = "none", limit: int | None = 10) -> None:
-    query(name, ranked_sql(f"SELECT * FROM ({bm25_sql(terms)}) WHERE {sql_where}", "doc_id", limit))(lambda s, d: ranked(find(table(s, d, "documents"), where, "doc_id").text_search("text", said, limit, analyzer).df, "doc_id"))
+    query(name, ranked_sql(f"SELECT * FROM ({bm25_sql(terms)}) WHERE {sql_where}", "doc_id", limit))(lambda s, d: ranked(find(table(s, d, "documents"), where, "doc_id", text_index=text_index(s, d)).text_search("text", said, limit, analyzer).df, "doc_id"))
 
 
 text("text_bm25_raw", "license", [(["license"], 1)])
@@ -172,6 +186,10 @@ text("text_negative_idf", "the and of", [(["the"], 1), (["and"], 1), (["of"], 1)
 text("text_bm25_stemmed", "Licenses", [(["license", "licensed", "licenses", "licensing"], 1)], analyzer="english")
 
 
+# the same search without an index: two scans
+query("text_scan", ranked_sql(f"SELECT * FROM ({bm25_sql([(['licensed'], 1), (['rights'], 1)])})", "doc_id"))(lambda s, d: ranked(find(table(s, d, "documents"), None, "doc_id").text_search("text", "licensed rights", 10, "none").df, "doc_id"))
+
+
 @query("text_array_field", r"""WITH c AS (SELECT conv_id, regexp_extract_all(lower(string_agg(text, ' ')), '[a-z0-9]+(?:[._-][a-z0-9]+)*') AS raw FROM conversations GROUP BY conv_id),
 f AS (SELECT conv_id, len(list_filter(raw, lambda t: length(t) > 1)) AS dl, len(list_filter(raw, lambda t: t = 'with')) AS tf FROM c),
 s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM f)
@@ -185,7 +203,7 @@ def hybrid(name: str, said: str, terms: list, vector: list[float], where: dict |
     def run(spark, sf_dir):
         e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         docs = table(spark, sf_dir, "documents").join(e, "doc_id", "left")
-        return ranked(find(docs, where, "doc_id").hybrid_search("text", "embedding", said, vector, 10, "none").df, "doc_id")
+        return ranked(find(docs, where, "doc_id", text_index=text_index(spark, sf_dir)).hybrid_search("text", "embedding", said, vector, 10, "none").df, "doc_id")
 
     vec = f"SELECT doc_id, list_cosine_similarity(embedding::DOUBLE[], {VECTOR_SQL}) AS score FROM documents JOIN embeddings ON doc_id = vec_id WHERE {sql_where}" if any(vector) else "SELECT 0::BIGINT AS doc_id, 0.0 AS score WHERE false"
     txt = f"SELECT * FROM ({bm25_sql(terms)}) WHERE {sql_where}" if terms else "SELECT 0::BIGINT AS doc_id, 0.0 AS score WHERE false"
@@ -231,6 +249,94 @@ query("update_set_unset_inc", "SELECT o_orderkey, 'done' AS o_orderstatus, o_tot
     lambda s, d: changed(find(table(s, d, "orders"), {"o_orderstatus": "P"}, "o_orderkey").to_dataframe(), {"o_orderstatus": "done"}, ["o_orderpriority"], {"o_totalprice": 1.5, "tries": 2}).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("tries").cast("int").alias("tries"), "o_orderpriority"))
 
 
+# collections: customers are put in, then verbs change them
+def customers(spark: SparkSession, sf_dir: str) -> Collection:
+    c = Collection(spark, os.path.join(shared_folder(spark, "collection"), "customers"), indexes=["c_nationkey"])
+    c.insert_frame(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("_id"), "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    return c
+
+
+_CUSTOMER = "c_custkey::VARCHAR AS _id, c_custkey, c_nationkey, c_acctbal, c_mktsegment"
+
+
+@query("store_delete_many", f"SELECT {_CUSTOMER}, deleted FROM customer, (SELECT count(*) AS deleted FROM customer WHERE c_acctbal < 0) WHERE NOT c_acctbal < 0")
+def store_delete_many(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    n = c.delete_many({"c_acctbal": {"$lt": 0}})
+    return c.to_dataframe().withColumn("deleted", F.lit(n).cast("long"))
+
+
+@query("store_replace_one", "SELECT c_custkey::VARCHAR AS _id, c_nationkey, CASE WHEN c_custkey = 5 THEN 'none' ELSE c_mktsegment END AS c_mktsegment FROM (SELECT c_custkey, CASE WHEN c_custkey = 5 THEN NULL ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer)")
+def store_replace_one(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    c.replace_one({"c_custkey": 5}, {"c_mktsegment": "none"})
+    return c.to_dataframe().select("_id", "c_nationkey", "c_mktsegment")
+
+
+@query("store_update_one", f"SELECT {_CUSTOMER.replace('c_acctbal', 'CASE WHEN c_custkey = 7 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal')} FROM customer")
+def store_update_one(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    c.update_one({"c_custkey": 7}, inc={"c_acctbal": 1})
+    c.checkpoint()
+    return c.to_dataframe()
+
+
+@query("store_stats", "SELECT count(*) FILTER (NOT c_acctbal < 0) AS documents, 2 * count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_nationkey = 3 AND NOT c_acctbal < 0) AS dead_records FROM customer")
+def store_stats(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    c.delete_many({"c_acctbal": {"$lt": 0}})
+    c.update_many({"c_nationkey": 3}, set={"c_mktsegment": "x"})
+    s = c.stats()
+    return spark.createDataFrame([(s["documents"], s["dead_records"])], "documents long, dead_records long")
+
+
+@query("store_compact", "SELECT c_custkey::VARCHAR AS _id, CASE WHEN c_nationkey = 3 THEN 'x' ELSE c_mktsegment END AS c_mktsegment, 0::BIGINT AS dead_records FROM customer WHERE NOT c_acctbal < 0")
+def store_compact(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    c.delete_many({"c_acctbal": {"$lt": 0}})
+    c.update_many({"c_nationkey": 3}, set={"c_mktsegment": "x"})
+    c.compact()
+    return c.to_dataframe().select("_id", "c_mktsegment").withColumn("dead_records", F.lit(c.stats()["dead_records"]).cast("long"))
+
+
+@query("store_batch", "SELECT c_custkey::VARCHAR AS _id, CASE WHEN c_nationkey = 3 THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 4 UNION ALL SELECT 'new', 11.0")
+def store_batch(spark, sf_dir):
+    """A batch that raises leaves nothing; one that ends is seen at once, its later verbs having seen its earlier ones."""
+    c = customers(spark, sf_dir)
+    try:
+        with c.batch():
+            c.update_many({}, set={"c_acctbal": 0.0})
+            raise KeyError
+    except KeyError:
+        pass
+    with c.batch():
+        c.insert({"_id": "new", "c_nationkey": 3, "c_acctbal": 1.0})
+        c.update_many({"c_nationkey": 3}, inc={"c_acctbal": 10})
+        c.delete_many({"c_nationkey": 4})
+    return c.to_dataframe().select("_id", "c_acctbal")
+
+
+@query("store_suffix_scan", "SELECT c_custkey::VARCHAR AS _id, 'late' AS c_mktsegment FROM customer WHERE c_nationkey = 3")
+def store_suffix_scan(spark, sf_dir):
+    """What was committed after a manifest that was read before: the tail of the log, by its commits."""
+    c = customers(spark, sf_dir)
+    seen = c.mark()
+    c.update_many({"c_nationkey": 3}, set={"c_mktsegment": "late"})
+    return c.since(seen).select("_id", "c_mktsegment")
+
+
+class Letters:
+    """A model for queries: how often each of eight letters comes."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(c)) for c in "AEIORSTN"] for t in texts]
+
+
+_COUNTS = "[" + ", ".join(f"(length(n_name) - length(replace(n_name, '{c}', '')))::DOUBLE" for c in "AEIORSTN") + "]"
+query("embed_typed", f"SELECT n_nationkey, array_to_string(list_transform(e, lambda x: round(x * (127.0::DOUBLE / greatest(list_max(e), -list_min(e))))::INTEGER), ',') AS codes FROM (SELECT n_nationkey, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS e FROM (SELECT n_nationkey, {_COUNTS} AS v FROM nation))")(
+    lambda s, d: embed_column(table(s, d, "nation").select("n_nationkey", "n_name"), "n_name", EmbedConfig(Letters(), "v", precision="int8")).select("n_nationkey", F.array_join(F.transform("v", lambda x: F.round(x * 127).cast("int")), ",").alias("codes")))
+
+
 # formats; the driver reads and writes these, so they run on small tables
 @query("json_roundtrip", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def json_roundtrip(spark, sf_dir):

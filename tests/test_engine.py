@@ -128,6 +128,113 @@ def test_batch(spark, tmp_path):
     assert {d["_id"]: d["n"] for d in c.find().to_list()} == {"b": 2, "x": 0}
 
 
+def test_batches_hold_every_verb(spark, tmp_path):
+    """Verbs see what the batch wrote; an exception takes back all of them, frames, updates and compaction included."""
+    c = Collection(spark, str(tmp_path / "c"))
+    c.insert_many([{"_id": str(i), "n": i} for i in range(4)])
+    before = {d["_id"]: d["n"] for d in c.find().to_list()}
+    with pytest.raises(KeyError), c.batch():
+        assert c.update_many({"n": {"$gte": 2}}, inc={"n": 10}) == 2
+        c.insert_frame(spark.createDataFrame([("f", 7)], "_id string, n bigint"))
+        c.insert({"_id": "w", "n": 1.5})
+        c.compact()
+        assert c.delete_many({"n": {"$gt": 6}}) == 3
+        raise KeyError
+    assert {d["_id"]: d["n"] for d in c.find().to_list()} == before and len(list((tmp_path / "c").glob("commit-*"))) == 1
+    with c.batch():
+        c.insert({"_id": "new", "n": 3})
+        assert c.update_one({"_id": "new"}, set={"t": "x"})["t"] == "x" and c.replace_one({"t": "x"}, {"n": 30})["_id"] == "new"
+        assert c.update_many({"n": {"$gte": 3}}, inc={"n": 1}) == 2 and c.delete_one({"_id": "0"})
+        with pytest.raises(NoMatchError):
+            c.update_one({"_id": "0"}, set={"n": 1})
+        with pytest.raises(RuntimeError), c.batch():
+            pass
+    assert {d["_id"]: d["n"] for d in c.find().to_list()} == {"1": 1, "2": 2, "3": 4, "new": 31}
+
+
+def test_frames_are_evaluated_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    c = Collection(spark, str(tmp_path / "c"))
+    n = c.insert_frame(spark.range(50).where(F.rand() < 0.5).select(F.col("id").cast("string").alias("_id")))
+    assert n == c.count()
+    with pytest.raises(DuplicateIdError):
+        c.insert_frame(spark.createDataFrame([("z",), ("z",)], "_id string"))
+    assert n == c.count() and not list((tmp_path / "c").glob("staged-*"))
+
+
+def test_checkpoints(spark, tmp_path):
+    """Reads are the same with and without a checkpoint, and have no shuffle right after it."""
+    c = Collection(spark, str(tmp_path / "c"), durability="fsync")
+    c.insert_many([{"_id": str(i), "n": i} for i in range(6)])
+    c.delete_one({"n": 0})
+    c.sync()
+    assert "Exchange" not in c.snapshot()._jdf.queryExecution().executedPlan().toString() and c.count() == 5
+    mark = c.mark()
+    c.update_many({"n": 1}, set={"n": 100, "late": "yes"})
+    c.delete_one({"n": 2})
+    c.insert({"_id": "0", "n": -1})
+    assert {d["_id"]: d["n"] for d in c.find().to_list()} == {"0": -1, "1": 100, "3": 3, "4": 4, "5": 5}
+    assert {(r["_id"], r["_op"]) for r in c.since(mark).collect()} == {("1", 3), ("2", 2), ("0", 1)}
+    c.compact()
+    assert {d["_id"]: d["late"] for d in c.find().to_list()}["1"] == "yes" and c.stats()["dead_records"] == 0
+    assert len(list((tmp_path / "c").glob("c*-*"))) == 1
+
+
+def test_declared_fields(spark, tmp_path):
+    """Ranked searches go by the declared fields and widths, and return documents alone."""
+    c = Collection(spark, str(tmp_path / "c"), vector_indexes={"v": 2}, text_indexes=["t"])
+    c.insert_many([{"_id": "a", "v": [1.0, 0.0], "u": [1.0, 0.0], "t": "red house", "s": "red"}, {"_id": "b", "v": [1.0, 0.0, 0.0], "t": "blue houses"}])
+    hits = c.find().vector_search("v", [1.0, 0.0]).to_list()
+    assert [(d["_id"], s) for d, s in hits] == [("a", 1.0)] and "_seq" not in hits[0][0] and "_seq" not in c.find().first()
+    assert c.find().vector_search("u", [1.0, 0.0]).to_list() == [] == c.find().text_search("s", "red").to_list()
+    with pytest.raises(ValueError):
+        c.find().vector_search("v", [1.0, 0.0, 0.0])
+    with pytest.raises(ValueError):
+        c.find().hybrid_search("t", "v", "red", [1.0])
+    assert [d["_id"] for d, _ in c.find().hybrid_search("t", "u", "red", [1.0, 0.0]).to_list()] == ["a"]
+    scanned = [c.find().text_search("t", q).to_list() for q in ("house", "red", "none")]
+    c.reindex()
+    assert c.find().indexes and [c.find().text_search("t", q).to_list() for q in ("house", "red", "none")] == scanned and len(scanned[0]) == 2
+    assert [d["_id"] for d, _ in c.find({"_id": "b"}).hybrid_search("t", "v", "house", [1.0, 0.0]).to_list()] == ["b"]
+    c.insert({"_id": "c", "t": "a house of red stone"})
+    assert not c.find().indexes and {d["_id"] for d, _ in c.find().text_search("t", "house").to_list()} == {"a", "b", "c"}
+
+
+def test_text_index(spark, tmp_path):
+    """Its scores are those of the scan, stems, repeated terms, filters and limits included."""
+    from quern.operators.text_index import TextIndex
+
+    rows = [(str(i), t) for i, t in enumerate(["cats and a running dog", "the cat runs, the cat sleeps", "birds", None, "", "v1.2 cat-like runs", "dogs dogs dogs"])]
+    df = spark.createDataFrame(rows, "_id string, t string")
+    index = TextIndex.build(df, "t", "_id", str(tmp_path / "i"))
+    for q in ("cat", "run cats cat", "the", "v1.2", "nothing", "", "dog bird"):
+        for analyzer in ("english", "none"):
+            for where in (None, {"_id": {"$in": ["1", "5", "6"]}}):
+                for limit in (1, 10, None, 0):
+                    got = find(df, where, text_index=index).text_search("t", q, limit, analyzer).to_list()
+                    want = find(df, where).text_search("t", q, limit, analyzer).to_list()
+                    assert [d for d, _ in got] == [d for d, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    plan = index._table("postings").where("token = 'cat'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,cat)" in plan
+    assert TextIndex.build(df.limit(0), "t", "_id", str(tmp_path / "j")).hits("cat").count() == 0
+
+
+def test_ties_of_first_and_last(spark):
+    df = spark.createDataFrame([("g", 1, "x"), ("g", 1, "y"), ("g", 0, None)], "g string, _id int, v string")
+    assert find(df).group("g").agg(first("v"), last("v")).to_list() == [{"g": "g", "first_v": "x", "last_v": "y"}]
+
+
+def test_sqlite_json(spark, tmp_path):
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("create table t (i integer, o text, l text, m text)")
+        db.executemany("insert into t values (?, ?, ?, ?)", [(1, '{"a": 1, "b": [1, 2.5]}', "[1, 2]", "[1]"), (2, '{"a": 3}', None, "text"), (3, None, "[]", "{bad")])
+    got = sorted(files.read_sqlite(spark, str(tmp_path / "x.db")).collect(), key=lambda r: r["i"])
+    assert got[0]["o"]["b"] == [1.0, 2.5] and got[1]["o"]["a"] == 3 and [r["l"] for r in got] == [[1, 2], None, []] and [r["m"] for r in got] == ["[1]", "text", "{bad"]
+
+
 def test_embedding(spark, tmp_path):
     c = Collection(spark, str(tmp_path / "c"), auto_embed={"t": {"model": Letters(), "target": "v", "dims": 4, "doc_prefix": "a"}})
     c.insert_many([{"_id": "1", "t": "bbbb"}, {"_id": "2", "t": "aaa"}, {"_id": "3", "n": 1}])
