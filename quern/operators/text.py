@@ -18,7 +18,7 @@ K1, B = 1.2, 0.75
 def surface_forms(df: DataFrame, field: str, stems: list[str]) -> dict[str, list[str]]:
     """The tokens in the field that have these stems. Only tokens that begin like a stem are stemmed, each once a shuffle partition."""
     begin = {s[0] for s in stems} | ({"d", "l", "t", "s"} & {s[0] for s in stems})
-    t = df.select(F.explode(F.array_distinct(tokens(flat_text(F.col(field), df.schema[field].dataType)))).alias("t")).where(F.substring("t", 1, 1).isin(sorted(begin))).distinct()
+    t = spread(df.select(field)).select(F.explode(F.array_distinct(tokens(flat_text(F.col(field), df.schema[field].dataType)))).alias("t")).where(F.substring("t", 1, 1).isin(sorted(begin))).distinct()
 
     @F.pandas_udf("string")
     def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -31,6 +31,12 @@ def surface_forms(df: DataFrame, field: str, stems: list[str]) -> dict[str, list
     return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, if their scan has far fewer splits than there are cores, as a small table has."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def text_search(df: DataFrame, field: str, query: str, limit: int | None = 10, id_col: str = "_id", where=None, analyzer: str = "english") -> DataFrame:
     """df's rows with a query term, with score, best first, ties by id. limit None: all; analyzer none: no stems.
 
@@ -60,7 +66,7 @@ def text_search(df: DataFrame, field: str, query: str, limit: int | None = 10, i
             return F.size(F.filter("_hits", lambda x: x.isin(fs)))
         return rows.withColumns({names[s]: tf(fs) for s, fs in forms.items()}).drop("_tokens", "_hits")
 
-    stats = counted(df.select(field)).agg(F.count(F.when(F.col("_dl") > 0, 1)).alias("n"), F.sum("_dl").alias("length"), *[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in names.values()]).first()
+    stats = counted(spread(df.select(field))).agg(F.count(F.when(F.col("_dl") > 0, 1)).alias("n"), F.sum("_dl").alias("length"), *[F.count(F.when(F.col(c) > 0, 1)).alias(c) for c in names.values()]).first()
     n = stats["n"]
     if not n:
         return empty
@@ -76,5 +82,5 @@ def text_search(df: DataFrame, field: str, query: str, limit: int | None = 10, i
     hit = F.lit(False)
     for c in names.values():
         hit = hit | (F.col(c) > 0)
-    out = counted(rows).where(hit).withColumn("score", score).drop("_dl", *names.values()).orderBy(F.desc("score"), F.asc(id_col))
+    out = counted(spread(rows)).where(hit).withColumn("score", score).drop("_dl", *names.values()).orderBy(F.desc("score"), F.asc(id_col))
     return out if limit is None else out.limit(limit)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem
 from ..functions.tokens import flat_text, tokens, tokens_of
-from .text import B, K1
+from .text import B, K1, spread
 
 class TextIndex:
     """Three tables in a folder: postings (token, id, tf, dl), sorted by token; words (token, stem), the distinct tokens; stats, one row: n, the documents with a token, and length, their tokens."""
@@ -28,10 +28,7 @@ class TextIndex:
     def build(cls, df: DataFrame, field: str, id_col: str, path: str) -> TextIndex:
         """Tokenises each document once. Counting is within a document, so only postings are shuffled, by token range; hot tokens take several files."""
         spark = df.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        rows = df.select(F.col(id_col).alias("id"), flat_text(F.col(field), df.schema[field].dataType).alias("said"))
-        if rows.rdd.getNumPartitions() * 2 <= cores:
-            rows = rows.repartition(cores)
+        rows = spread(df.select(F.col(id_col).alias("id"), flat_text(F.col(field), df.schema[field].dataType).alias("said")))
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

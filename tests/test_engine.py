@@ -220,6 +220,21 @@ def test_text_index(spark, tmp_path):
     assert TextIndex.build(df.limit(0), "t", "_id", str(tmp_path / "j")).hits("cat").count() == 0
 
 
+def test_tail_of_a_log(spark, tmp_path):
+    """A stream of commits as they come: the live documents so far."""
+    from pyspark.sql import types as T
+
+    from quern.streaming.tail import latest, run_once, tail
+
+    c = Collection(spark, str(tmp_path / "c"))
+    c.insert_many([{"_id": "a", "n": 1}, {"_id": "b", "n": 2}])
+    c.update_many({"n": 1}, set={"n": 5})
+    c.delete_one({"_id": "b"})
+    schema = T.StructType([T.StructField("_seq", T.LongType()), T.StructField("_op", T.ByteType()), *c._schema().fields])
+    run_once(latest(tail(spark, c.path, schema)), "tail_of_c")
+    assert [(r["_id"], r["n"]) for r in spark.table("tail_of_c").collect()] == [("a", 5)]
+
+
 def test_ties_of_first_and_last(spark):
     df = spark.createDataFrame([("g", 1, "x"), ("g", 1, "y"), ("g", 0, None)], "g string, _id int, v string")
     assert find(df).group("g").agg(first("v"), last("v")).to_list() == [{"g": "g", "first_v": "x", "last_v": "y"}]
