@@ -46,6 +46,7 @@ TOP, FLOOR = 4, -0.6
 CLEAN_COST = 3.0
 OFFSETS = [(0, *c) for n in (2, 3) for c in combinations(range(1, SPAN), n)]
 PUNCTUATION = ".,;:?\"'()"
+MARKS_BESIDE = PUNCTUATION + "!*-_~|/+="  # what may stand beside a lone letter
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
 
@@ -239,11 +240,11 @@ def sentences(text: str | None, widest: int = WIDEST) -> list[list[str]]:
     out = []
     for s in END.split((text or "").lower()):
         words = s.split()
-        lone = [i for i, w in enumerate(words) if len(w) < 4 and len(w.strip(PUNCTUATION)) == 1]
+        lone = [i for i, w in enumerate(words) if len(w) < 4 and len(w.strip(MARKS_BESIDE)) == 1]
         if len(lone) > 2:
             for i, j in reversed(list(pairwise([k for k in range(len(lone) + 1) if not 0 < k < len(lone) or lone[k] != lone[k - 1] + 1]))):
                 if j - i > 2:
-                    words[lone[i] : lone[j - 1] + 1] = ["".join(w.strip(PUNCTUATION) for w in words[lone[i] : lone[j - 1] + 1])]
+                    words[lone[i] : lone[j - 1] + 1] = ["".join(w.strip(MARKS_BESIDE) for w in words[lone[i] : lone[j - 1] + 1])]
         out += [words[i : i + widest] for i in range(0, len(words), widest)]
     return out
 
@@ -321,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     lab = labels.where(col("toxic").isNotNull() & (bucket(col(id_col), folds) != held)).groupBy(col(id_col).alias("id")).agg(F.max(col("toxic")).cast("int").alias("toxic"))
     lab = written(lab, "labels")
-    taken = [(r["id"], r["toxic"]) for t in (0, 1) for r in lab.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(n_docs).collect()]
+    taken = [(r["id"], r["toxic"]) for t in (0, 1) for r in first_by_hash(lab.where(F.col("toxic") == t), n_docs)]
     if len({t for _, t in taken}) < 2:
         return None
     spark = docs.sparkSession
@@ -377,6 +378,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def first_by_hash(ids: DataFrame, n: int) -> list:
+    """The n rows first by a hash of their id. Only rows below a hash that about 4 * n of them have are sorted, so partitions send few each."""
+    total, share = ids.count(), 4.0
+    while True:
+        f = min(1.0, share * n / max(total, 1))
+        below = F.xxhash64("id") <= F.lit(int(-(1 << 63) + f * ((1 << 64) - 4096)) if f < 1 else (1 << 63) - 1)
+        out = ids.where(below).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+        if len(out) >= min(n, total) or f == 1:
+            return out
+        share *= 4
+
+
 def key_of(model: dict) -> str:
     return hashlib.md5(model["weights"].tobytes() + model["feats"].tobytes()).hexdigest()
 

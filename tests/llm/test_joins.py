@@ -357,7 +357,7 @@ def test_permutation_index(spark):
     assert f.footrule(np.array([0, 1])).tolist() == [0, 4, 4]  # |places| with 2 for a missing one: 0; 1 + 1 + 2 (pivots 0, 1, 2); 2 + 1 + 1
     df, x = vectors(spark, copies=1)
     v = usable(df, "vec_id", "embedding", zero=False)
-    got = permutation.knn(v, v.where("id % 100 = 0"), permutation.pivots_of(v, 64), length=32).collect()
+    got = permutation.knn(v, v.where("id % 100 = 0"), permutation.pivots_of(v, 64), length=32, asked=16).collect()
     hit = n = 0
     for q in (0, 200, 300, 400, 500, 600):
         d = sorted((float(np.sqrt(((np.array(e) - np.array(x[q])) ** 2).sum())), i) for i, e in [*x.items(), (100, x[0])] if i != q)[:10]
@@ -394,6 +394,23 @@ def test_permutation_index_among_copies(spark, n, copies):
     assert hit / (10 * len(asked)) >= 0.9
 
 
+def test_permutation_index_of_few_and_no_rows(spark):
+    df, x = vectors(spark, n=30, copies=1)
+    v = usable(df.select("*", F.lit(1).alias("id"), F.lit("x").alias("vec"), F.lit(2).alias("score")), "vec_id", "embedding", zero=False)
+    pivots = permutation.pivots_of(v)
+    assert len(pivots) == 30
+    got = {}
+    for r in permutation.knn(v, v.where("id < 3"), pivots).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in (0, 1, 2):  # so few are all reranked
+        d = sorted((float(np.sqrt(((np.array(e) - np.array(x[q])) ** 2).sum())), i) for i, e in [*x.items(), (100, x[0])] if i != q)[:10]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in d]
+    few = v.where("id < 3")
+    assert permutation.knn(few, few, permutation.pivots_of(few)).count() == 6
+    none = v.where("id < 0")
+    assert permutation.knn(none, none, permutation.pivots_of(none)).count() == 0 == permutation.knn(v, none, pivots).count()
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     e = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in table(spark, sf, "embeddings").collect()}

@@ -139,7 +139,30 @@ def test_weights_are_the_svm():
     v = s.units(pos + neg + ["i" * 5000])
     assert (v[:3] > 0).all() and (v[3:8] < 0).all() and np.isfinite(v).all()
     assert s.units(["idxiot"])[0] > s.units(["table"])[0]
-    assert "idiot" in toxicity.tokens_of("you i d i o t there") and toxicity.units_of("i-d.i*o_t") == ["idiot"] and "idiot" in toxicity.units_of("1d1ot")
+    assert toxicity.units_of("i-d.i*o_t") == ["idiot"] and "idiot" in toxicity.units_of("1d1ot")
+
+
+def test_sentences():
+    assert toxicity.sentences("You i d i o t there. And *i *d *i, o. t.\nno a b") == [["you", "idiot", "there"], ["and", "idiot"], ["no", "a", "b"]]
+    assert toxicity.sentences("you i. d. i. o. t. yes") == [["you", "idiot", "yes"]] and toxicity.sentences(None) == toxicity.sentences(" \n ") == []
+    long = toxicity.sentences("word " * 100)
+    assert [len(s) for s in long] == [48, 48, 4]
+
+
+def test_scripts_are_told_apart():
+    """Insults in letters that aren't Latin are no more alike than Latin ones."""
+    k = toxicity.kernel(["дурак", "дурраак", "окно", "стол", "바보", "창문"], ["дурак", "바보"])
+    assert k[0, 0] > 0.5 and k[1, 0] > 2 * max(k[2, 0], k[3, 0]) and k[4, 1] > k[5, 1] + 0.2
+
+
+def test_learns_other_scripts_and_without_strong_evidence(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([(i, f"мы дошли до дома {i}. ты дурак и осёл" if i % 2 else f"мы дошли до старого дома {i}. окно и стол"  ) for i in range(60)], "doc_id bigint, text string")
+    model = toxicity.learn(docs, labels, min_evidence=10_000.0)
+    assert toxicity.score(docs, model).where("predicted <> doc_id % 2").count() == 0
+    new = spark.createDataFrame([(1, "он дуррак"), (2, "он вошёл")], "doc_id bigint, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(new, model).collect()}
+    assert score[1] > score[2]
 
 
 def test_toxicity_of_odd_texts(spark):
