@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, spread, table
+from .common import Scratch, col, fresh, spread, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -35,7 +35,7 @@ BLANK = re.compile(rb"[^!-~\x80-\xff]")
 COST = 9.0
 #: most words ranked by the corpus, and the longest that is one; longest block that counts as said again and again
 WORDS, WIDEST, PERIOD = 50_000, 24, 32
-FLUSH = 500_000
+FLUSH = 200_000
 
 COMMON = """password passwort secret token letmein welcome admin root user login master dragon monkey shadow sunshine princess
 football baseball superman batman trustno starwars iloveyou hello freedom whatever qazwsx ninja azerty solo access flower
@@ -231,7 +231,7 @@ def ranks_of(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> dic
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in (x.as_py() for x in batch.column(0)):  # one text at a time
                 if not t:
                     continue
                 raw = t.encode("utf-8", "surrogatepass")
@@ -244,13 +244,21 @@ def ranks_of(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> dic
                             at = b
                     t = b" ".join([*parts, raw[at:]]).decode("utf-8", "replace")
                 n.update(w for w in _WORD.findall(t.lower()) if 2 < len(w) <= WIDEST)
-            if len(n) > FLUSH:
-                yield out()
-                n.clear()
+                if len(n) > FLUSH:
+                    yield out()
+                    n.clear()
         yield out()
 
-    c = docs.select(col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = c.orderBy(F.desc("n"), "word").limit(words).collect()
+    held = Scratch()
+    c = held.written(docs.select(col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    size = F.floor(F.log2("n") * 16).cast("int")
+    some, least = 0, 0  # the class of counts from which there are enough words, so that no partition sends all it has
+    for r in sorted(c.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        some, least = some + r["count"], r["size"]
+        if some >= words:
+            break
+    top = c.where(size >= least).orderBy(F.desc("n"), "word").limit(words).collect()
+    held.drop()
     return {r["word"]: math.log10(i) for i, r in enumerate(top, 10)}
 
 
