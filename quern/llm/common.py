@@ -22,9 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage is cut there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/quern/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch().written(df, name)
+
+
+class Scratch:
+    """Written tables that may go before the session ends: those that nothing reads any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(df.sparkSession)}/quern/{uuid.uuid4().hex}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes what was written here, but for these tables, as written() returned them. Frames that read the others must have been written."""
+        kept = []
+        for df, path in self.tables:
+            if any(df is k for k in keep):
+                kept.append((df, path))
+                continue
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        self.tables = kept
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, spread, table, written
+from .common import Scratch, col, fresh, spread, table, written
 from .links import by_rare_grams, every_link, mixed, resolve
 
 #: most edits between linked lines, and one of them for each so many code points of the shorter line; below that length copies are linked to nothing else
@@ -25,7 +25,7 @@ TAU, EACH = 2, 10
 #: length of the substrings by which lines of a bucket of unlike ones are told apart
 Q = 4
 #: lines that a task remembers, to post each of them once; code points whose keys are made at once
-CACHE, AT_ONCE = 500_000, 1 << 20
+CACHE, AT_ONCE = 100_000, 1 << 19
 #: most classes of lines that may count as hot, each with a share of all places above one in so many
 HOT = 10_000
 #: what a line holds that isn't blank
@@ -234,10 +234,11 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(lines: DataFrame, tau: int = TAU, each: int = EACH, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(labels, links) of different lines that are linked: (id, label), (a, b), an id being the line's h1. All links if every, else those that the labels took."""
     posted = lines.where(F.col("n") >= each).select("h1", "line").mapInArrow(_posted(tau, each), "bucket long, id long")
-    members = written(posted.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_several, "bucket long, id long"), "segments")
-    ids = written(members.select("id").distinct(), "ids")
+    held = Scratch()
+    members = held.written(posted.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_several, "bucket long, id long"), "segments")
+    ids = held.written(members.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = written(lines.select(F.col("h1").alias("id"), "line").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "lines")
+    texts = held.written(lines.select(F.col("h1").alias("id"), "line").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "lines")
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), texts.select(F.col("id").alias("b"), F.col("line").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +251,13 @@ def classes(lines: DataFrame, tau: int = TAU, each: int = EACH, every: bool = Fa
 
     def refine(open_: DataFrame) -> DataFrame:  # t edits change t * Q of a line's grams at most
         own = open_.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # a line has few
-        own = written(texts.join(own, "id").select("id", F.col("line").alias("text"), "buckets"), "unlike")
+        own = held.written(texts.join(own, "id").select("id", F.col("line").alias("text"), "buckets"), "unlike")
         return by_rare_grams(own, grams_of, lambda t, _: Q * edits(len(t), tau, each) + 1)
 
     links, labels, buckets = resolve(members, verify, refine)
-    return labels, written(every_link(buckets, labels, verify), "every") if every else links
+    out = labels, every_link(buckets, labels, verify) if every else links
+    held.drop()
+    return out
 
 
 def dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, each: int = EACH, told: bool = False, hot: int = HOT) -> DataFrame:
@@ -324,7 +327,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a, b = doc_key(id_col, text_col)
     lost = dropped(docs, id_col, text_col, **how).where(F.size("dropped") > 0).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("dropped").alias(gone))
     d = docs.withColumns({k1: a, k2: b}).join(lost, [k1, k2], "left")
-    text = F.pandas_udf(without, "string")(F.when(col(gone).isNotNull(), col(text_col)), col(gone))
+    text = F.pandas_udf(without, "string").asNondeterministic()(F.when(col(gone).isNotNull(), col(text_col)), col(gone))
     new = d.withColumn(text_col, F.when(col(gone).isNull(), col(text_col)).otherwise(text))
     new = new.where(col(gone).isNull() | col(text_col).rlike(SEEN))
     if chars_col and chars_col in docs.columns:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 #: counters of the sketch that orders grams by how often they come; members up to which a bucket's pairs are all tested, rather than told apart by grams
 CELLS, SMALL = 1 << 21, 12
@@ -19,14 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label): for each end of a link (a, b) the smallest id that it is connected to.
 
     Rounds of large-star and small-star, each aggregated before its shuffle and written; their number grows as the
-    logarithm of the longest path. No links: no rows.
+    logarithm of the longest path. No links: no rows. The result is written, what led to it deleted.
     """
-    e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = written(e, "links"), None
+    held, before = Scratch(), None
+    e = held.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         sign = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sign == before or not sign[0]:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
+            out = written(e.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), "labels")
+            held.drop()
+            return out
         before = sign
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -34,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(small, "stars")
+        e = held.written(small, "stars")
+        held.drop(e)
 
 
 def several(members: DataFrame) -> DataFrame:
@@ -92,14 +95,17 @@ def by_rare_grams(texts: DataFrame, grams_of: Callable[[str], np.ndarray], kept:
             none = np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [none])), pa.array(np.concatenate(ids or [none]))], names=["bucket", "id"])
 
-    return several(written(texts.select("id", "text", "buckets").mapInArrow(posted, "bucket long, id long"), "rare"))
+    held_ = Scratch()
+    out = written(several(held_.written(texts.select("id", "text", "buckets").mapInArrow(posted, "bucket long, id long"), "rare")), "refined")
+    held_.drop()
+    return out
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, held: Scratch) -> DataFrame:
     """(bucket, id, label, n) of the buckets whose members aren't all connected; n: their number. Written."""
     tagged = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
-    return written(tagged.join(mixed, "bucket"), "open")
+    return held.written(tagged.join(mixed, "bucket"), "open")
 
 
 def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,33 +119,35 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
     drawn. So classes are exactly those of all pairs that share a bucket. Work is quadratic only in a refined bucket
     whose members are mutually unlike.
     """
-    all_ = members
+    all_, pairs_, open_ = members, Scratch(), Scratch()
     rep = all_.groupBy("bucket").agg(F.min("id").alias("rep"))
     tested = all_.join(rep, "bucket").groupBy("id").agg(F.min("rep").alias("rep")).where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    tested = written(tested, "pairs")
+    tested = pairs_.written(tested, "pairs")
     links = written(verify(tested), "verified")
-    labels = written(components(links), "labels")
-    tagged = _mixed(all_, labels)
-    if tagged.isEmpty():
-        return links, labels, all_
-    if refine is not None:
+    labels = components(links)
+    tagged = _mixed(all_, labels, open_)
+    if refine is not None and not tagged.isEmpty():
         large = tagged.where(F.col("n") > SMALL)
-        fine = written(refine(large.select("bucket", "id")), "refined")
-        all_ = all_.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(fine)
-        tagged = tagged.where(F.col("n") <= SMALL).unionByName(_mixed(fine, labels))
+        fine = refine(large.select("bucket", "id"))
+        all_ = written(all_.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(fine), "buckets")
+        tagged = tagged.where(F.col("n") <= SMALL).unionByName(_mixed(fine, labels, open_))
     k = 0
     while not tagged.isEmpty():
         draw = (F.xxhash64("bucket", "id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) * F.col("n")
         reps = tagged.where((draw >= 2**k - 1) & (draw < 2 ** (k + 1) - 1)).select("bucket", F.col("id").alias("rep"), F.col("label").alias("own"))
         pairs = tagged.join(reps, "bucket").where("label <> own").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs_.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(verify(pairs), "verified")
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = written(components(links), "labels")
+            labels = components(links)
         tested = tested.unionByName(pairs)
-        tagged = _mixed(tagged.where(F.col("n") > 2 ** (k + 1) - 1).select("bucket", "id"), labels)
+        before, open_ = open_, Scratch()
+        tagged = _mixed(tagged.where(F.col("n") > 2 ** (k + 1) - 1).select("bucket", "id"), labels, open_)
+        before.drop()
         k += 1
+    open_.drop()
+    pairs_.drop()
     return links, labels, all_
 
 
@@ -149,10 +157,13 @@ def every_link(members: DataFrame, labels: DataFrame, verify: Callable[[DataFram
     labels are resolve()'s: members of different components have no link, so they aren't paired. What a bucket holds of
     a component is cut into blocks by a hash of the ids, and each two blocks meet in a join key of their own.
     """
-    m = written(members.join(labels, "id").select("bucket", "label", "id"), "labelled")
+    held = Scratch()
+    m = held.written(members.join(labels, "id").select("bucket", "label", "id"), "labelled")
     n = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     m = m.join(n, ["bucket", "label"]).withColumn("n", F.ceil(F.col("n") / block).cast("int"))
     m = m.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    m = written(m.select("bucket", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"), "blocks")
+    m = held.written(m.select("bucket", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id"), "blocks")
     met = m.withColumnsRenamed({"id": "a", "own": "x"}).join(m.withColumnsRenamed({"id": "b", "own": "y"}), ["bucket", "label", "i", "j"])
-    return verify(met.where("a < b AND (i = j OR x <> y)").select("a", "b").distinct())
+    out = written(verify(met.where("a < b AND (i = j OR x <> y)").select("a", "b").distinct()), "every")
+    held.drop()
+    return out

@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, fresh, spread, table, written
+from .common import Scratch, col, fresh, spread, table, written
 from .links import by_rare_grams, resolve, several
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.99
-CACHE = 500_000
+#: words whose hashes a worker keeps, texts that a task remembers, to sign each of them once
+CACHE, SEEN = 150_000, 100_000
 #: texts, and code points, of a class that are compared with one another in one task's memory; larger classes are cut into such blocks
 BLOCK, CHARS = 256, 2_000_000
 
@@ -91,7 +92,7 @@ def _signatures(bands: int, rows: int, n: int):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i in seen or (s := signature(t, a, b, n)) is None:
                     continue
-                if len(seen) < CACHE:
+                if len(seen) < SEEN:
                     seen.add(i)
                 s = s.reshape(bands, rows)
                 key = no * np.uint64(0xD6E8FEB86659FD93)
@@ -190,7 +191,8 @@ def classes(docs: DataFrame, text_col: str = "text", n: int = N, threshold: floa
     """
     bands, rows = bands_for(threshold, recall)
     d = docs.where(col(text_col).isNotNull()).select(text_id(text_col).alias("id"), col(text_col).alias("text"))
-    members = written(several(written(d.mapInArrow(_signatures(bands, rows, n), "bucket long, id long"), "bands")), "buckets")
+    held = Scratch()
+    members = held.written(several(held.written(d.mapInArrow(_signatures(bands, rows, n), "bucket long, id long"), "bands")), "buckets")
     texts = written(d.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
@@ -198,10 +200,12 @@ def classes(docs: DataFrame, text_col: str = "text", n: int = N, threshold: floa
         return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold, n), "a long, b long")
 
     def refine(open_: DataFrame) -> DataFrame:  # by the rarest of all these texts' grams, whatever bucket they met in
-        own = written(texts.join(open_.select("id").distinct(), "id", "left_semi").withColumn("buckets", F.array(F.lit(0).cast("long"))), "unlike")
+        own = held.written(texts.join(open_.select("id").distinct(), "id", "left_semi").withColumn("buckets", F.array(F.lit(0).cast("long"))), "unlike")
         return by_rare_grams(own, lambda t: gram_hashes(t, n), lambda _, k: k - math.ceil(threshold * k - 1e-9) + 1)
 
-    return resolve(members, verify, refine)[1], texts
+    labels = resolve(members, verify, refine)[1]
+    held.drop()
+    return labels, texts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, **how) -> DataFrame:
