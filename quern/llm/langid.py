@@ -18,10 +18,9 @@ FOLDS, HELD = 4, 2
 #: The sample that a language is learned from: at most DOCS documents of it, a random window of CHARS code points each.
 DOCS, CHARS = 48, 400
 #: Texts are cut into blocks of so many symbols that are parsed side by side; what a block's parse owes to the one before is then put right.
-BLOCK, AT_ONCE = 512, 1 << 21
+BLOCK, AT_ONCE = 512, 3 << 18
 UND = "und"
 SPACE, OTHER = 0, 1  # symbols: anything but a letter, runs as one; letters that no sample has
-LOW = (1 << 32) - 1
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -60,10 +59,10 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Table:
-    """An automaton's edges in one array: a state is a base of its own, and cell[base + symbol] holds (base, next base) if the state has that edge.
+    """An automaton's edges in two arrays: a state is a base of its own; if it has an edge for a symbol, owner[base + symbol] is its base and next[base + symbol] that of the state it leads to.
 
     Where it hasn't, a phrase ends, and the next begins with the symbol, from the start: first[symbol]. The start itself
-    and states without edges have the base 0, whose cells are all empty. Its size goes with the edges and the number of
+    and states without edges have the base 0, which owns no place. Its size goes with the edges and the number of
     symbols, not with their product.
     """
 
@@ -113,10 +112,11 @@ class Table:
             own[b[fine]] = False
             free[at[fine]] = False
             left = left[~fine]
-        self.cell = np.full(int(base.max()) + symbols + 1, LOW << 32, dtype=np.uint64)
         own_, sym_, to_ = (np.array(x, dtype=np.int64) for x in zip(*((s, c, to) for s in rows for c, to in edges[s].items()))) if rows else (np.zeros(0, dtype=np.int64),) * 3
-        self.cell[base[own_] + sym_] = ((base[own_] << 32) | base[to_]).astype(np.uint64)
-        self.first = np.zeros(symbols, dtype=np.int64)
+        self.owner = np.full(int(base.max()) + symbols + 1, -1, dtype=np.int32)
+        self.next = np.zeros(len(self.owner), dtype=np.int32)
+        self.owner[base[own_] + sym_], self.next[base[own_] + sym_] = base[own_], base[to_]
+        self.first = np.zeros(symbols, dtype=np.int32)
         for c, to in edges[0].items():
             self.first[c] = base[to]
         self.first[OTHER] = 0
@@ -180,24 +180,23 @@ class Model:
         active = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # lanes longer than step t
         lanes, steps = len(start), int(size.max(initial=0))
         out = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
-        symbols = np.zeros((steps, lanes), dtype=np.int64)
+        symbols = np.zeros((steps, lanes), dtype=np.int32)
         for t in range(steps):
             m = active[t]
             symbols[t, :m] = codes[start[:m] + t]
-        states = np.zeros((steps, lanes), dtype=np.int64)
+        states = np.zeros((steps, lanes), dtype=np.int32)
         begun = np.zeros((steps, lanes), dtype=bool)
         for i, table_ in enumerate(self.tables):
             first = table_.first.take(symbols)
-            state = np.zeros(lanes, dtype=np.int64)
+            state = np.zeros(lanes, dtype=np.int32)
             for t in range(steps):
                 m = active[t]
                 s = state[:m]
-                cell = table_.cell.take(s + symbols[t, :m])
-                new = (cell >> 32).astype(np.int64) != s
-                begun[t, :m] = new
-                s[:] = np.where(new, first[t, :m], (cell & LOW).astype(np.int64))
+                cell = s + symbols[t, :m]
+                new = np.not_equal(table_.owner.take(cell), s, out=begun[t, :m])
+                s[:] = np.where(new, first[t, :m], table_.next.take(cell))
                 states[t, :m] = s
-            known = np.zeros(lanes, dtype=np.int64)  # the state that a lane has been parsed from
+            known = np.zeros(lanes, dtype=np.int32)  # the state that a lane has been parsed from
             todo = np.flatnonzero(before >= 0)
             while len(todo):
                 enter = states[size[before[todo]] - 1, before[todo]]
@@ -210,9 +209,9 @@ class Model:
                     lane, s = lane[fine], s[fine]
                     if not len(lane):
                         break
-                    cell = table_.cell.take(s + symbols[t, lane])
-                    new = (cell >> 32).astype(np.int64) != s
-                    s = np.where(new, first[t, lane], (cell & LOW).astype(np.int64))
+                    cell = s + symbols[t, lane]
+                    new = table_.owner.take(cell) != s
+                    s = np.where(new, first[t, lane], table_.next.take(cell))
                     begun[t, lane] = new
                     apart = states[t, lane] != s
                     states[t, lane] = s
@@ -303,7 +302,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "te
             yield pd.DataFrame({"lang": langs, "score": scores, "bits": bits})
 
     lang, score, bits, all_ = fresh(docs, "lang_pred", "score", "bits", "lang_all")
-    out = docs.withColumn(all_, predict(col(text_col)))
+    out = docs.withColumn(all_, predict.asNondeterministic()(col(text_col)))  # so that a filter on it doesn't evaluate it once more
     return out.select(*[col(c) for c in docs.columns], col(all_)["lang"].alias(lang), col(all_)["score"].alias(score), col(all_)["bits"].alias(bits))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import col, spread, table, written
 
-CAPACITY, END_ID, SLACK, CACHE = 2048, 1, 64, 400_000
+CAPACITY, END_ID, SLACK, CACHE = 2048, 1, 64, 200_000
 #: workers whose open bins are filled together, again and again until all are together
 FAN_IN = 256
 
