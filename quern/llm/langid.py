@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucket, col, fresh, spread, table
+from .common import bucket, col, fresh, spread, table, written
 
 FOLDS, HELD = 4, 2
 #: The sample that a language is learned from: at most DOCS documents of it, a random window of CHARS code points each.
@@ -266,22 +266,32 @@ def model(key: str, samples: dict) -> Model:
     return _MODELS[key]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held: int = HELD, n_docs: int = DOCS, n_chars: int = CHARS) -> dict[str, list[str]]:
-    """The samples: for each language n_docs documents first by a hash of id and text, a window of n_chars of each. No rows, or none with a lang: no samples.
-
-    Rows with null text, lang or id, and those whose crc32(id) mod folds is held, aren't used. What reaches the driver
-    is bounded by languages * n_docs * n_chars; each task keeps n_docs rows a language before the shuffle.
-    """
+def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held: int = HELD, n_docs: int = DOCS, n_chars: int = CHARS) -> tuple[dict[str, list[str]], list[int]]:
+    """learn()'s samples, and text_key() of the texts that they were taken from."""
     text = col(text_col)
     h = F.xxhash64(col(id_col), text)
     at = F.pmod(h, F.greatest(F.length(text) - n_chars, F.lit(0)) + 1).cast("int") + 1
     d = docs.where(text.isNotNull() & col(lang_col).isNotNull() & (bucket(col(id_col), folds) != held))
-    d = d.select(col(lang_col).alias("lang"), h.alias("h"), F.substring(text, at, F.lit(n_chars)).alias("w"))
+    d = d.select(col(lang_col).alias("lang"), h.alias("h"), F.substring(text, at, F.lit(n_chars)).alias("w"), text_key(text).alias("t"))
     d = d.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "w"))).where(F.col("k") <= n_docs)
     out: dict[str, list[str]] = {}
-    for r in d.orderBy("lang", "k").collect():
+    rows = d.orderBy("lang", "k").collect()
+    for r in rows:
         out.setdefault(r["lang"], []).append(r["w"])
-    return out
+    return out, sorted({r["t"] for r in rows})
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(2), text)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held: int = HELD, n_docs: int = DOCS, n_chars: int = CHARS) -> dict[str, list[str]]:
+    """The samples: for each language n_docs documents first by a hash of id and text, a window of n_chars of each. No rows, or none with a lang: no samples.
+
+    Rows with null text, lang or id, and those whose crc32(id) mod folds is held, aren't used. What reaches the driver
+    is bounded by languages * n_docs * n_chars; each task keeps n_docs rows a language before the shuffle.
+    """
+    return drawn(docs, id_col, text_col, lang_col, folds, held, n_docs, n_chars)[0]
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
@@ -313,13 +323,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A text goes if it takes more than REJECT times the bits a symbol that labelled documents take at the median; a label is overruled from this score on.
 REJECT, OVERRULE = 3.0, 0.3
+#: decimals of the bits whose median is taken: exact on these, it needs a count a value, of which there are few, and not every document's bits in one task
+PLACES = 3
 
 
-def usual_bits(samples: dict[str, list[str]], others: dict[str, list[str]]) -> float:
-    """The median bits a symbol of other windows under the samples' automata; infinite if there are none."""
-    m = Model(samples)
-    bits = [b for lang, b in zip(*[x for i, x in enumerate(m.predict([w for v in others.values() for w in v])) if i != 1]) if lang != UND]
-    return float(np.median(bits)) if bits else math.inf
+def usual_bits(told: DataFrame, learned: list[int], text_col: str = "text", lang_col: str = "lang") -> float:
+    """The median bits a symbol, to PLACES decimals, of all labelled documents with letters but those that a sample was taken from; infinite if there are none. told is identify()'s."""
+    pred, _, bits = map(col, told.columns[-3:])
+    others = told.where(col(lang_col).isNotNull() & (pred != UND) & ~text_key(col(text_col)).isin(learned))
+    usual = others.agg(F.median(F.round(bits, PLACES)).alias("usual")).first()["usual"]
+    return math.inf if usual is None else usual
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -327,12 +340,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What goes: null texts, texts without a letter, and texts that no language's sample parses into phrases of a usual
     length (random letters, scripts that weren't learned). Without labelled documents nothing can be said: all stay as they are.
+    Each text is parsed once: the parsed table is written, and both the usual length and the decisions are read off it.
     """
-    known = learn(docs, n_docs=2 * DOCS)
-    samples, others = {k: v[:DOCS] for k, v in known.items()}, {k: v[DOCS:] for k, v in known.items()}
-    if not Model(samples).langs:
+    samples, learned = drawn(docs)
+    if not any(c.isalpha() for v in samples.values() for w in v for c in w.lower()):
         return docs
-    out = identify(docs, samples)
+    out = written(identify(docs, samples), "parsed")
     pred, score, bits = map(col, out.columns[-3:])
     lang = F.when(col("lang").isNull() | (score >= OVERRULE), pred).otherwise(col("lang"))
-    return out.where((pred != UND) & (bits <= REJECT * usual_bits(samples, others))).select(*[lang.alias(c) if c == "lang" else col(c) for c in docs.columns])
+    return out.where((pred != UND) & (bits <= REJECT * usual_bits(out, learned))).select(*[lang.alias(c) if c == "lang" else col(c) for c in docs.columns])

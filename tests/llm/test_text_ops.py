@@ -74,6 +74,25 @@ def test_stage_decides(spark, sf):
     assert sorted(map(tuple, langid.stage(spark, bare, sf).collect()), key=str) == sorted(map(tuple, bare.collect()), key=str)
 
 
+def test_stage_goes_by_all_labelled_documents(spark):
+    """The usual bits are the median over every labelled document, not over a few more of those that samples are drawn from: 200 documents of freely mixed words outnumber 60 of fixed sentences, and stay."""
+    r = random.Random(5)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 7))) for _ in range(60)]
+    fixed = [" ".join(r.choice(words) for _ in range(12)) for _ in range(4)]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % langid.FOLDS == langid.HELD][:200]
+    free = [i for i in range(2000) if zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD][:60]
+    rows = [(i, " ".join(r.choice(fixed) for _ in range(8)), "x", "s", 1) for i in free] + [(i, " ".join(r.choice(words) for _ in range(100)), "x", "s", 1) for i in held]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in langid.stage(spark, docs, "").collect()} == {*free, *held}
+    samples, learned = langid.drawn(docs)
+    assert samples == langid.learn(docs) and len(samples["x"]) == langid.DOCS
+    model, taken = langid.Model(samples), set(learned)
+    key = {x["doc_id"]: x["t"] for x in docs.select("doc_id", langid.text_key(F.col("text")).alias("t")).collect()}
+    bits = [b for (i, *_), b in zip(rows, model.predict([t for _, t, *_ in rows])[2]) if key[i] not in taken]
+    assert langid.usual_bits(langid.identify(docs, samples), learned) == pytest.approx(np.median(bits), abs=1e-3)
+    assert langid.usual_bits(langid.identify(docs.where("doc_id < 0"), samples), learned) == float("inf")
+
+
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in langid.op6(spark, sf).collect()}
