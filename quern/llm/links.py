@@ -13,13 +13,37 @@ from .common import Scratch, written
 
 #: counters of the sketch that orders grams by how often they come; members up to which a bucket's pairs are all tested, rather than told apart by grams
 CELLS, SMALL = 1 << 21, 12
+#: links from which on components are found in rounds over all tasks; fewer fit one task, which gives the same labels
+FEW = 500_000
 
 
-def components(links: DataFrame) -> DataFrame:
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end of the links, once, and the smallest id that it is connected to: in rounds, larger roots are hung under smaller ones that a link leads to, then all paths are cut short."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while len(over := np.flatnonzero(root[root] != root)):
+            root[over] = root[root[over]]
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    return ids, ids[root]
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if got:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in smallest(*(np.concatenate(x) for x in zip(*got)))], names=["id", "label"])
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(id, label): for each end of a link (a, b) the smallest id that it is connected to.
 
     Rounds of large-star and small-star, each aggregated before its shuffle and written; their number grows as the
-    logarithm of the longest path. No links: no rows. The result is written, what led to it deleted.
+    logarithm of the longest path. From few links on, given or left, one task does the rest: a round is ten jobs, whose
+    plans the driver holds. No links: no rows. The result is written, what led to it deleted.
     """
     held, before = Scratch(), None
     e = held.written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -29,6 +53,10 @@ def components(links: DataFrame) -> DataFrame:
             out = written(e.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()), "labels")
             held.drop()
             return out
+        if sign[0] <= few:
+            out = written(e.coalesce(1).mapInArrow(_smallest, "id long, label long"), "labels")
+            held.drop()
+            return out
         before = sign
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -98,6 +126,7 @@ def by_rare_grams(texts: DataFrame, grams_of: Callable[[str], np.ndarray], kept:
     held_ = Scratch()
     out = written(several(held_.written(texts.select("id", "text", "buckets").mapInArrow(posted, "bucket long, id long"), "rare")), "refined")
     held_.drop()
+    held.destroy()
     return out
 
 
@@ -114,9 +143,10 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
     First each member is held against one other, the smallest id that it shares a bucket with: one pair a member, also
     among a third of all rows. A bucket that is one component then is done: further links in it join nothing new. The
     members of the others, unless they are SMALL, are put into the buckets that refine(members) says, if it is given: each
-    two members of a bucket that are linked must share one of these. Buckets that are still open have 1, 2, 4, ... of their members, drawn by hash, held
-    against all members of other components, no pair twice, until the bucket is one component or each member has been
-    drawn. So classes are exactly those of all pairs that share a bucket. Work is quadratic only in a refined bucket
+    two members of a bucket that are linked must share one of these. Buckets that are still open have all their members, if
+    they are SMALL, else 1, 2, 4, ... of them, drawn by hash, held against all members of other components, no pair
+    twice, until the bucket is one component or each member has been drawn; after a round that found no link, four times
+    as many are drawn. So classes are exactly those of all pairs that share a bucket. Work is quadratic only in a refined bucket
     whose members are mutually unlike.
     """
     all_, pairs_, open_ = members, Scratch(), Scratch()
@@ -131,21 +161,22 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine
         fine = refine(large.select("bucket", "id"))
         all_ = written(all_.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(fine), "buckets")
         tagged = tagged.where(F.col("n") <= SMALL).unionByName(_mixed(fine, labels, open_))
-    k = 0
+    lo, hi = 0, 1
     while not tagged.isEmpty():
         draw = (F.xxhash64("bucket", "id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))) * F.col("n")
-        reps = tagged.where((draw >= 2**k - 1) & (draw < 2 ** (k + 1) - 1)).select("bucket", F.col("id").alias("rep"), F.col("label").alias("own"))
+        reps = tagged.where((F.col("n") <= SMALL) | (draw >= lo) & (draw < hi)).select("bucket", F.col("id").alias("rep"), F.col("label").alias("own"))
         pairs = tagged.join(reps, "bucket").where("label <> own").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
         pairs = pairs_.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = written(verify(pairs), "verified")
-        if not more.isEmpty():
+        found = not more.isEmpty()
+        if found:
             links = links.unionByName(more)
             labels = components(links)
         tested = tested.unionByName(pairs)
         before, open_ = open_, Scratch()
-        tagged = _mixed(tagged.where(F.col("n") > 2 ** (k + 1) - 1).select("bucket", "id"), labels, open_)
+        tagged = _mixed(tagged.where(F.col("n") > max(SMALL, hi)).select("bucket", "id"), labels, open_)
         before.drop()
-        k += 1
+        lo, hi = hi, hi + (hi - lo) * (2 if found else 4)
     open_.drop()
     pairs_.drop()
     return links, labels, all_

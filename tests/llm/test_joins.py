@@ -69,6 +69,24 @@ def test_components(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    """Labels are those of the rounds, made in one task, so the driver doesn't hold the rounds' plans."""
+    r = random.Random(8)
+    chain = list(range(-150, 150))
+    r.shuffle(chain)
+    edges = [*zip(chain, chain[1:]), *((r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(250)), (7000, 7000), (9, 8), (8, 9)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup("few", "")
+    got = links.components(df).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("rounds", "")
+    for few in (0, 200):  # by rounds alone, and by rounds until so few are left
+        assert sorted(got) == sorted(links.components(df, few).collect())
+    spark.sparkContext.setJobGroup("", "")
+    assert len({x["id"] for x in got}) == len(got) and {x["label"] for x in got if x["id"] < 1000} == {-150}
+    assert jobs <= 8
+
+
 def test_resolve_finds_every_class_in_big_mixed_buckets(spark):
     """Members are linked if their tens agree; stars alone would miss most links."""
     rows = [(1, i) for i in range(120)] + [(2, i) for i in range(100, 300, 7)] + [(3, 999)]
