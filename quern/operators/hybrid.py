@@ -27,5 +27,5 @@ def hybrid_search(df: DataFrame, text_field: str, vector_field: str, text: str,
         order = W.orderBy(F.desc("score"), F.asc(id_col))
         legs.append(hits.select(id_col, (1.0 / (RRF_K + F.row_number().over(order))).alias("score")))
     fused = legs[0].unionByName(legs[1]).groupBy(id_col).agg(F.sum("score").alias("score")).orderBy(F.desc("score"), F.asc(id_col))
-    fused = fused if limit is None else fused.limit(limit)
+    fused = fused if limit is None else F.broadcast(fused.limit(limit))
     return rows.join(fused, id_col).select(*df.columns, "score").orderBy(F.desc("score"), F.asc(id_col))

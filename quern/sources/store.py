@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConflictError, DuplicateIdError, InvalidDocumentError, InvalidIdError, NoMatchError, ReadOnlyError
 from ..operators.embedding import Embedder
-from ..operators.text_index import TextIndex
+from ..operators.text_index import LAYOUT, TextIndex
 from ..plans.filters import compile_filter, validate
 from ..plans.query import Query, Ranked, find
 from .typing import fitted, settled, type_of, unify
@@ -406,7 +406,7 @@ class Collection:
 
     def _text_indexes(self, m: dict) -> dict[str, TextIndex]:
         """Those text indexes that are of this version of the documents."""
-        return {f: TextIndex(self.spark, os.path.join(self.path, x["name"])) for f, x in m.get("texts", {}).items() if x["commits"] == m["commits"]}
+        return {f: TextIndex(self.spark, os.path.join(self.path, x["name"])) for f, x in m.get("texts", {}).items() if x["commits"] == m["commits"] and x.get("layout") == LAYOUT}
 
     def reindex(self) -> None:
         """Builds the declared text indexes again, and a checkpoint. Until the next write searches read them; after it, they scan, with the same results, until they are built again."""
@@ -417,7 +417,7 @@ class Collection:
                 if field in df.columns:
                     name = f"text-{m['version']:08d}-{uuid.uuid4().hex[:8]}"
                     TextIndex.build(df, field, "_id", os.path.join(self.path, name))
-                    made[field] = {"name": name, "commits": m["commits"]}
+                    made[field] = {"name": name, "commits": m["commits"], "layout": LAYOUT}
             if made:
                 self._replace(m | {"texts": made}, m["version"])
                 self._drop([x["name"] for x in m.get("texts", {}).values()])
