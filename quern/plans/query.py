@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import Aggregate, avg, collect, count, first, last, max, mean, min, sum  # noqa: A004
@@ -22,6 +23,35 @@ def _c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: rows skipped without a limit, up to which one task finds the last of them; beyond, one task reads all rows
+SKIPPED = 100_000
+
+
+def _without_first(df: DataFrame, n: int, field: str, down: bool, tie: str) -> DataFrame:
+    """df in order, without its first n rows. One task sees n rows' sort keys; the rows after the nth's keys are found by a filter, those of the same keys are counted off."""
+    new, taken = [], {c.lower() for c in df.columns}
+    for name in ("_0", "_1", "_n", "_skip"):
+        while name in taken:
+            name = "_" + name
+        new.append(name)
+    if tie in df.columns:
+        second = _c(tie)
+    else:  # any order of ties will do
+        second = F.xxhash64(*[_c(f.name) for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+    columns = [_c(field), second]
+    order = lambda a, b: [a.desc_nulls_first() if down else a.asc_nulls_last(), b.asc()]
+    first = df.select(columns[0].alias(new[0]), columns[1].alias(new[1])).orderBy(*order(_c(new[0]), _c(new[1]))).limit(n)
+    w = W.orderBy(*order(_c(new[0]), _c(new[1])))
+    nth = first.select("*", F.row_number().over(w).alias(new[2]), (F.lit(n + 1) - F.rank().over(w)).alias(new[3])).where(_c(new[2]) == n)
+    (x, a), (y, b) = zip(columns, (_c(new[0]), _c(new[1])), strict=True)
+    after = x.isNotNull() & (a.isNull() | (x < a)) if down else a.isNotNull() & (x.isNull() | (x > a))
+    later = y.isNotNull() & (b.isNull() | (y > b))
+    held = df.crossJoin(F.broadcast(nth))
+    same = held.where(x.eqNullSafe(a) & y.eqNullSafe(b)).withColumn(new[2], F.row_number().over(W.partitionBy(_c(new[0]), _c(new[1])).orderBy(_c(new[0])))).where(_c(new[2]) > _c(new[3]))
+    out = held.where(after | (x.eqNullSafe(a) & later)).unionByName(same).select(*[_c(c) for c in df.columns])
+    return out.orderBy(*order(columns[0], columns[1]))
+
+
 @dataclass(frozen=True)
 class Query:
     """A lazy query over a frame; every call returns a new one. to_dataframe() is the plan, the rest are actions."""
@@ -74,6 +104,8 @@ class Query:
             field, down = self.sort_by
             key = _c(field) if field in out.columns else F.lit(None)
             keys = [key.desc_nulls_first() if down else key.asc_nulls_last()]
+            if self.skip_n and self.skip_n <= SKIPPED and self.limit_n is None and field in out.columns:
+                return _without_first(out, self.skip_n, field, down, tie)
             out = out.orderBy(*keys, *([_c(tie).asc()] if tie in out.columns and tie != field else []))
         if self.skip_n:
             out = out.offset(self.skip_n)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from quern.functions.tokens import tokens_of
 from quern.operators import text_index
 from quern.operators.text_index import TextIndex
+from quern.plans.query import find
 
 
 def test_index_moves_blocks(spark, tmp_path):
@@ -32,3 +33,23 @@ def test_blocks_hold_the_tokens_of_each_text(monkeypatch):
         got = [((r["token"], i), (tf, dl)) for r in rows if r["token"] is not None for i, tf, dl in zip(r["ids"], r["tf"], r["dl"], strict=True)]
         assert dict(got) == want and len(got) == len(want)
         assert sum(r["dl"][0] for r in rows if r["token"] is None) == sum(len(tokens_of(t or "")) for t in texts)
+
+
+def test_skip_brings_no_table_into_one_task(spark):
+    """skip after a sort drops the first rows and no others: nulls, NaN, ties of the id and of the sort field, frames without the id, more than there are."""
+    nan = float("nan")
+    rows = [(i % 9, v, m) for i, v in enumerate([None, 1.0, nan, 2.0, 2.0, None, -0.0, 0.0, 1.0, 2.0, nan, 2.0]) for m in "ab"] + [(3, 2.0, "a")] * 3 + [(None, 2.0, "c"), (None, None, "d")]
+    df = spark.createDataFrame(rows, "_id int, v double, _n string").repartition(3)
+    q = find(df).sort("v").skip(5).to_dataframe()
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan
+    for frame, columns in ((df, ["v", "_id"]), (df.drop("_id"), ["v"]), (df.select("_id", "_n"), ["_id"])):
+        for down in (False, True):
+            everything = [str(tuple(r[c] for c in columns)) for r in find(frame).sort(columns[0], down).to_dataframe().collect()]
+            assert len(everything) == 29
+            for n in (1, 7, 28, 29, 40):
+                got = find(frame).sort(columns[0], down).skip(n).to_dataframe()
+                assert got.columns == frame.columns
+                assert [str(tuple(r[c] for c in columns)).replace("-0.0", "0.0") for r in got.collect()] == [x.replace("-0.0", "0.0") for x in everything[n:]], (columns, down, n)
+    grouped = find(df).group("_n").agg().sort("_n").skip(2)
+    assert [r["_n"] for r in grouped.to_dataframe().collect()] == ["c", "d"]
